@@ -1,0 +1,5 @@
+"""Expected results as SQL over the base tables, by query name."""
+
+from oracles import reports
+
+SQL = {**reports.SQL}

@@ -68,6 +68,11 @@ class Settings:
     stump_rounds: int = 80
     stump_step: float = 0.5
 
+    @property
+    def complete_years(self) -> list[int]:
+        first = int(self.expected_first_month[:4])
+        return [y for y in range(first, self.partial_year) if y not in self.skipped_years]
+
     @property
     def partial_year_start(self) -> str:
         return f"{self.partial_year}-01-01"
