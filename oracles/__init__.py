@@ -1,5 +1,5 @@
 """Expected results as SQL over the base tables, by query name."""
 
-from oracles import reports
+from oracles import operators, reports
 
-SQL = {**reports.SQL}
+SQL = {**reports.SQL, **operators.SQL}

@@ -75,8 +75,8 @@ def largest_cause(fallback: str = "no_reported_cause") -> Column:
     return picked
 
 
-def has_reported_cause() -> Column:
-    return F.greatest(*[F.coalesce(F.col(name), F.lit(0.0)) for name in CAUSES]) > 0
+def largest_cause_minutes() -> Column:
+    return F.greatest(*[F.coalesce(F.col(name), F.lit(0.0)) for name in CAUSES])
 
 
 def main_delay_cause(minutes: Column | str = "dep_delay", threshold: int = 15) -> Column:

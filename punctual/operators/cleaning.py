@@ -51,8 +51,9 @@ def keep_columns(df: DataFrame, columns=FLIGHT_COLUMNS) -> DataFrame:
 
 def as_number(value: Column | str, kind: T.DataType | str = "double") -> Column:
     value = F.col(value) if isinstance(value, str) else value
-    # whole-number columns may arrive as '5.0'
-    return F.trim(value.cast("string")).try_cast("double").cast(kind)
+    # whole-number columns may arrive as '5.0'; the text 'NaN' is a missing value
+    number = F.trim(value.cast("string")).try_cast("double")
+    return F.when(~F.isnan(number), number).cast(kind)
 
 
 def as_date(value: Column | str, formats=DATE_FORMATS) -> Column:
@@ -79,11 +80,11 @@ def fill_flags(df: DataFrame, flags=ZERO_FLAGS) -> DataFrame:
 
 
 def fill_minutes(df: DataFrame, columns=ZERO_MINUTES) -> DataFrame:
-    return df.na.fill(0.0, [c for c in columns if c in df.columns])
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in columns if c in df.columns})
 
 
 def fill_labels(df: DataFrame, fills=TEXT_FILLS) -> DataFrame:
-    return df.na.fill({c: text for c, text in fills.items() if c in df.columns})
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(text)) for c, text in fills.items() if c in df.columns})
 
 
 def fill_missing(df: DataFrame) -> DataFrame:
@@ -95,7 +96,7 @@ def only_operated(df: DataFrame) -> DataFrame:
 
 
 def drop_undated(df: DataFrame) -> DataFrame:
-    return df.na.drop(subset=["fl_date"])
+    return df.where(F.col("fl_date").isNotNull())
 
 
 def add_features(df: DataFrame, label: str = "dep", threshold: int = 15) -> DataFrame:

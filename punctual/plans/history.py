@@ -158,10 +158,12 @@ def year_quarter(flights: DataFrame) -> DataFrame:
 
 def cause_share_arrival(flights: DataFrame) -> DataFrame:
     """Shares among late flights that report a cause, with the raw column names."""
-    late = flights.where(LATE).where(X.has_reported_cause())
+    late = flights.where(LATE)
     table = late.groupBy(F.upper(X.largest_cause()).alias("main_delay_cause")).agg(
-        count_of(late).alias("total_flights")
+        count_of(late).alias("total_flights"), F.max(X.largest_cause_minutes()).alias("top_minutes")
     )
+    # flights without a reported cause form one group whose top is not positive
+    table = table.where("top_minutes > 0").drop("top_minutes")
     return with_share(table, "total_flights", "pct_of_total").orderBy(F.desc("total_flights"), "main_delay_cause")
 
 

@@ -128,9 +128,7 @@ def calendar_rate(flights: DataFrame, key: str) -> DataFrame:
 def cause_share(flights: DataFrame) -> DataFrame:
     """Primary cause among delayed flights; the total runs over at most six rows."""
     late = flights.where("is_delayed = 1")
-    causes = late.groupBy(X.largest_cause().alias("main_delay_cause")).agg(
-        count_of(late).alias("delayed_flights")
-    )
+    causes = late.groupBy("main_delay_cause").agg(count_of(late).alias("delayed_flights"))
     return with_share(causes, "delayed_flights", "pct_of_delayed_flights").orderBy(
         F.desc("delayed_flights"), "main_delay_cause"
     )

@@ -110,19 +110,22 @@ def scheduled(
                     ELSE 121 + (h % 25) * 40 END AS DOUBLE) AS dep_delay""",
         )
         .selectExpr(
-            "*",
-            "IF(h % 991 = 0, NULL, dep_delay - 10 + (l_partkey * 3 + l_orderkey) % 21) AS arr_delay",
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+            "fl_date", "month", "day_of_week", "h", "t",
+            # one generated row per flight: a filter on a delay is then tested on its
+            # value instead of repeating the whole formula inside the scan filter
+            """inline(array(struct(
+                dep_delay,
+                IF(h % 991 = 0, NULL, dep_delay - 10 + (l_partkey * 3 + l_orderkey) % 21) AS arr_delay)))""",
         )
+        .selectExpr("*", "IF(arr_delay >= 15, CAST(h % 7 AS INT), 6) AS cause")
     )
-
     if places:
         keyed = _with_places(spark, folder, keyed)
 
-    def cause(position: int, tie: str = "0") -> str:
-        return (
-            "CAST(CASE WHEN arr_delay >= 15 AND h % 7 <> 6 THEN CASE h % 7"
-            f" WHEN {position} THEN arr_delay WHEN 5 THEN {tie} ELSE 0 END END AS DOUBLE)"
-        )
+    def cause(position: int) -> str:
+        tie = "WHEN cause = 5 THEN 7D" if position in (0, 4) else ""
+        return f"CASE WHEN cause = {position} THEN arr_delay {tie} WHEN cause <> 6 THEN 0D END"
 
     codes = ", ".join(f"'{code}'" for code in FIXTURE_CARRIERS)
     columns = [
@@ -147,11 +150,11 @@ def scheduled(
         "CAST((l_partkey + l_linenumber) % 211 = 0 AS INT) AS diverted",
         "30 + l_quantity * 8 AS air_time",
         *(DISTANCE_COLUMN if places else ()),
-        f"{cause(0, '7')} AS carrier_delay",
+        f"{cause(0)} AS carrier_delay",
         f"{cause(1)} AS weather_delay",
         f"{cause(2)} AS nas_delay",
         f"{cause(3)} AS security_delay",
-        f"{cause(4, '7')} AS late_aircraft_delay",
+        f"{cause(4)} AS late_aircraft_delay",
     ]
     return keyed.selectExpr(*columns)
 
