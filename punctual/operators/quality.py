@@ -15,16 +15,24 @@ from punctual.settings import Settings
 from punctual.sources.schema import REQUIRED_COLUMNS
 
 
-def required_columns(df: DataFrame, required=REQUIRED_COLUMNS) -> DataFrame:
-    """Every required column with a flag saying whether the table has it."""
-    missing = set(missing_columns(df, required))
-    rows = [(c, c not in missing) for c in required]
-    return df.sparkSession.createDataFrame(rows, "column_name string, present boolean")
+def value_counts_by_column(df: DataFrame) -> DataFrame:
+    """Known values per column, one pass."""
+    counts = df.agg(*[F.count(c).alias(c) for c in df.columns])
+    return counts.unpivot([], counts.columns, "column_name", "n_values")
 
 
-def renamed_columns(df: DataFrame) -> DataFrame:
-    rows = list(zip(df.columns, snake_case(df).columns))
-    return df.sparkSession.createDataFrame(rows, "raw_name string, column_name string")
+def required_columns(df: DataFrame, required=REQUIRED_COLUMNS) -> DataFrame:
+    """Every required column, whether the table has it and how many values it holds."""
+    missing = missing_columns(df, required)
+    present = df.select(*[c for c in required if c not in missing])
+    table = value_counts_by_column(present).withColumn("present", F.lit(True))
+    for column in missing:
+        table = table.unionByName(
+            df.sparkSession.range(1).select(
+                F.lit(column).alias("column_name"), F.lit(0).cast("bigint").alias("n_values"), F.lit(False).alias("present")
+            )
+        )
+    return table
 
 
 def date_column_found(df: DataFrame) -> DataFrame:
