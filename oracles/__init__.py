@@ -1,5 +1,5 @@
 """Expected results as SQL over the base tables, by query name."""
 
-from oracles import operators, reports, series
+from oracles import models, operators, reports, series
 
-SQL = {**reports.SQL, **operators.SQL, **series.SQL}
+SQL = {**reports.SQL, **operators.SQL, **series.SQL, **models.SQL}

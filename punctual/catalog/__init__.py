@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from punctual.catalog import operator_queries, report_queries, series_queries
+from punctual.catalog import model_queries, operator_queries, report_queries, series_queries
 from punctual.catalog.tables import Tables
 
 CATALOG: dict[str, Callable[[Tables], DataFrame]] = {
     **report_queries.QUERIES,
     **operator_queries.QUERIES,
     **series_queries.QUERIES,
+    **model_queries.QUERIES,
 }
 
 

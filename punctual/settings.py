@@ -39,6 +39,7 @@ class Settings:
     test_end: str = "2026-03-31"
     sample_percent: int = 10
     sample_seed: int = 42
+    model_percent: int = 10
     rare_category_rows: int = 100
     background_rows: int = 200
     explained_rows: int = 1000
@@ -105,6 +106,7 @@ FIXTURE = replace(
     holdout_end="2000-09-30",
     final_start="2001-01-01",
     final_end="2001-03-31",
+    model_percent=100,
     logistic_iterations=50,
     forest_trees=16,
     forest_depth=6,
