@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -51,14 +51,23 @@ class Prepared:
             cut_lineage(ready.vectors(rows.where(F.col("split") == part))) for part in ("train", "valid", "test")
         )
         self.names = M.feature_names(ready.vectors(rows))
+        self.fitted = {}
 
     def fit(self, name: str):
-        return C.FITTERS[name](self.train, self.t.s)
+        if name not in self.fitted:
+            self.fitted[name] = C.FITTERS[name](self.train, self.t.s)
+        return self.fitted[name]
 
     def scores(self, name: str, split: DataFrame) -> DataFrame:
         return C.scored(self.fit(name), split, name)
 
 
+@lru_cache(maxsize=2)
+def prepared(t) -> Prepared:
+    """One preparation per session and folder: its rows are in shared storage already."""
+    return Prepared(t)
+
+
 def fixture_scores(t) -> DataFrame:
     """A score with many ties and the true label, to check measures without a model."""
     score = (F.col("dep_hour") * 40 + F.col("crs_dep_time") % 100) / F.lit(1100.0)
@@ -115,9 +124,9 @@ FEATURES = {
     "ml_rare_bucket": pooled,
     "ml_class_weight": weights,
     "ml_base_rate": lambda t: M.base_rate(t.operated()),
-    "ml_onehot_unknown_zero": lambda t: unseen_vectors(Prepared(t)),
-    "ml_assemble_sparse": lambda t: vector_sizes(Prepared(t)),
-    "ml_feature_names": lambda t: Prepared(t).names,
+    "ml_onehot_unknown_zero": lambda t: unseen_vectors(prepared(t)),
+    "ml_assemble_sparse": lambda t: vector_sizes(prepared(t)),
+    "ml_feature_names": lambda t: prepared(t).names,
 }
 
 
@@ -142,7 +151,7 @@ def vector_sizes(p: Prepared) -> DataFrame:
 
 def model_measures(name: str):
     def run(t) -> DataFrame:
-        p = Prepared(t)
+        p = prepared(t)
         return V.measures(cut_lineage(p.scores(name, p.valid)))
 
     return run
@@ -155,19 +164,19 @@ def validation_scores(p: Prepared) -> tuple[dict, DataFrame]:
 
 
 def leaderboard(t) -> DataFrame:
-    return V.leaderboard(validation_scores(Prepared(t))[1])
+    return V.leaderboard(validation_scores(prepared(t))[1])
 
 
 def select_and_test(t) -> DataFrame:
     """Pick on validation, then score the test split once with the chosen model."""
-    p = Prepared(t)
+    p = prepared(t)
     fitted, scores = validation_scores(p)
     chosen = V.best_model(V.leaderboard(scores)).first().model
     return V.measures(cut_lineage(C.scored(fitted[chosen], p.test, chosen)))
 
 
 def both_splits(t) -> DataFrame:
-    p = Prepared(t)
+    p = prepared(t)
     fitted, valid = validation_scores(p)
     test = reduce(DataFrame.unionByName, [C.scored(m, p.test, n) for n, m in fitted.items()])
     both = valid.withColumn("split", F.lit("valid")).unionByName(test.withColumn("split", F.lit("test")))
@@ -175,7 +184,7 @@ def both_splits(t) -> DataFrame:
 
 
 def linear_contributions(t) -> DataFrame:
-    p = Prepared(t)
+    p = prepared(t)
     background = p.train.orderBy("fl_date", F.xxhash64(F.col("features").cast("string"))).limit(t.s.background_rows)
     explained = p.test.orderBy("fl_date", F.xxhash64(F.col("features").cast("string"))).limit(t.s.explained_rows)
     return X.contributions(p.fit(C.LOGISTIC), cut_lineage(background), cut_lineage(explained), p.names)
@@ -183,7 +192,7 @@ def linear_contributions(t) -> DataFrame:
 
 def importance_of(*models: str):
     def run(t) -> DataFrame:
-        p = Prepared(t)
+        p = prepared(t)
         return reduce(
             DataFrame.unionByName,
             [X.top_features(p.fit(m), p.names).withColumn("model", F.lit(m)) for m in models],
@@ -202,7 +211,7 @@ MODELS = {
     "mdl_random_forest": model_measures(C.FOREST),
     "mdl_gbt": model_measures(C.BOOSTED),
     "mdl_adaboost": model_measures(C.STUMPS),
-    "mdl_score": lambda t: score_summary(Prepared(t)),
+    "mdl_score": lambda t: score_summary(prepared(t)),
     "ev_leaderboard": leaderboard,
     "ev_select_and_test": select_and_test,
     "ev_all_models_both_splits": both_splits,

@@ -22,7 +22,8 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 
 def panel(t) -> DataFrame:
-    return T.daily_panel(t.operated(start=t.s.series_start))
+    """Daily series, written once: spines, holidays and gaps then read days, not flights."""
+    return cut_lineage(T.daily_panel(t.operated(start=t.s.series_start)))
 
 
 def filled(t) -> DataFrame:

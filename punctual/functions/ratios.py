@@ -17,12 +17,8 @@ def _col(value: Column | str) -> Column:
 def rate_pct(part: Column | str, whole: Column | str) -> Column:
     """``100 * part / whole`` to two digits; null when ``whole`` is zero."""
     part, whole = _col(part).cast("bigint"), F.nullif(_col(whole).cast("bigint"), F.lit(0).cast("bigint"))
-    doubled = part * 20000 + whole
-    return ((doubled - doubled % (whole * 2)) / (whole * 2)).cast("bigint") / F.lit(100.0)
-
-
-def mean_2(value: Column | str) -> Column:
-    return F.round(F.avg(_col(value)), 2)
+    hundredths = F.call_function("div", part * 20000 + whole, whole * 2)
+    return hundredths / F.lit(100.0)
 
 
 def safe_ratio(part: Column | str, whole: Column | str) -> Column:
