@@ -15,7 +15,7 @@ from punctual.plans.delay_models import evaluation as V
 from punctual.plans.delay_models import explanation as X
 from punctual.plans.delay_models import features as M
 from punctual.plans.delay_models import models as C
-from punctual.session import cut_lineage
+from punctual.session import cut_lineage, run_folder
 
 
 def modelling_rows(t) -> DataFrame:
@@ -39,6 +39,13 @@ def train_of(rows: DataFrame) -> DataFrame:
     return rows.where("split = 'train'")
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """Even partitions for the sampled rows: every iteration of a fit waits for its largest one."""
+    spark = df.sparkSession
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(spark.sparkContext.defaultParallelism, shuffle))
+
+
 class Prepared:
     """Vectors of the three splits, written once; every model of a run reads them."""
 
@@ -48,7 +55,7 @@ class Prepared:
         ready = M.fit(train_of(rows), t.s.rare_category_rows)
         self.ready = ready
         self.train, self.valid, self.test = (
-            cut_lineage(ready.vectors(rows.where(F.col("split") == part))) for part in ("train", "valid", "test")
+            cut_lineage(balanced(ready.vectors(rows.where(F.col("split") == part)))) for part in ("train", "valid", "test")
         )
         self.names = M.feature_names(ready.vectors(rows))
         self.fitted = {}
@@ -202,7 +209,7 @@ def importance_of(*models: str):
 
 
 def exported_metrics(t) -> DataFrame:
-    path = K.replace_csv(V.measures(fixture_scores(t)).coalesce(1), K.run_folder(t.spark, "metrics"))
+    path = K.replace_csv(V.measures(fixture_scores(t)).coalesce(1), run_folder(t.spark, "metrics"))
     return t.spark.read.csv(path, header=True, inferSchema=False)
 
 

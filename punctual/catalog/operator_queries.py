@@ -21,6 +21,7 @@ from punctual.plans import dashboards as D
 from punctual.plans import explore as E
 from punctual.plans import history as H
 from punctual.plans import reports as R
+from punctual.session import run_folder
 from punctual.sources import carriers, monthly_files
 from punctual.sources.schema import CAUSES, FLIGHT_COLUMNS, TEXT_FILLS, ZERO_FLAGS
 
@@ -51,7 +52,7 @@ def loud_names(df: DataFrame) -> DataFrame:
 
 
 def month_files(t) -> DataFrame:
-    folder = K.run_folder(t.spark, "months")
+    folder = run_folder(t.spark, "months")
     monthly_files.write_months(t.scheduled(places=True).drop("airline_name"), folder)
     columns = [c for c in FLIGHT_COLUMNS if c != "dep_time"]
     return monthly_files.read_months(t.spark, folder, columns)
@@ -59,7 +60,7 @@ def month_files(t) -> DataFrame:
 
 def csv_round_trip(t) -> DataFrame:
     columns = ["fl_date", "op_unique_carrier", "dep_delay", "arr_delay", "is_delayed"]
-    path = K.replace_csv(t.operated().select(*columns), K.run_folder(t.spark, "clean"))
+    path = K.replace_csv(t.operated().select(*columns), run_folder(t.spark, "clean"))
     schema = "fl_date date, op_unique_carrier string, dep_delay double, arr_delay double, is_delayed int"
     return t.spark.read.csv(path, header=True, schema=schema)
 
@@ -74,7 +75,7 @@ def csv_totals(df: DataFrame) -> DataFrame:
 
 
 def stored_table(t) -> DataFrame:
-    name, path = "flights_clean", K.run_folder(t.spark, "flights_clean")
+    name, path = "flights_clean", run_folder(t.spark, "flights_clean")
     t.spark.sql(f"DROP TABLE IF EXISTS {name}")
     return K.replace_table(t.operated(), name, path)
 
@@ -96,7 +97,7 @@ SOURCES = {
     "sink_table_replace": lambda t: tally(stored_table(t), "year", "delay_category"),
     "sink_verify_count": lambda t: K.verified(t.operated(), csv_round_trip(t)),
     "sink_report_exports": lambda t: K.export_reports(
-        t.complete(places=True), t.scheduled(), t.s, K.run_folder(t.spark, "exports")
+        t.complete(places=True), t.scheduled(), t.s, run_folder(t.spark, "exports")
     ),
     "sink_text_summary": lambda t: reduce(
         DataFrame.unionByName,

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from punctual.functions.weights import compact
 from punctual.plans import reports as R
-from punctual.session import shared_folder
+from punctual.session import cut_lineage
 from punctual.settings import Settings
 
 CALENDAR_KEYS = (
@@ -47,11 +46,6 @@ EXPORTS: dict[str, tuple[str, Callable]] = {
 }
 
 
-def run_folder(spark: SparkSession, name: str) -> str:
-    """A new folder per run below the shared one."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def replace_csv(df: DataFrame, path: str) -> str:
     """The committer publishes the files only when every task has finished."""
     df.write.mode("overwrite").option("header", True).csv(path)
@@ -85,11 +79,6 @@ def verified(source: DataFrame, loaded: DataFrame) -> DataFrame:
     )
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def export_reports(
     flights: DataFrame, scheduled: DataFrame, s: Settings, folder: str, exports=EXPORTS
 ) -> DataFrame:
@@ -102,15 +91,15 @@ def export_reports(
     spark = flights.sparkSession
     late = flights.where("is_delayed = 1")
     inputs = {
-        "calendar": written(compact(flights, *CALENDAR_KEYS), f"{folder}/calendar"),
-        "places": written(compact(flights, *PLACE_KEYS), f"{folder}/places"),
-        "severity": written(compact(late, *SEVERITY_KEYS), f"{folder}/severity"),
+        "calendar": cut_lineage(compact(flights, *CALENDAR_KEYS)),
+        "places": cut_lineage(compact(flights, *PLACE_KEYS)),
+        "severity": cut_lineage(compact(late, *SEVERITY_KEYS)),
         "scheduled": scheduled,
         "scheduled_complete": scheduled.where(F.col("year") < s.partial_year),
     }
     manifest = []
     for name, (source, report) in exports.items():
-        path = replace_csv(report(inputs[source], s).coalesce(1), f"{folder}/csv/{name}.csv")
+        path = replace_csv(report(inputs[source], s).coalesce(1), f"{folder}/{name}.csv")
         manifest.append((name, spark.read.csv(path, header=True).count(), path))
     return spark.createDataFrame(manifest, "report string, n_rows bigint, path string")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from punctual.functions import features as X
 from punctual.functions.weights import compact, count_of
 from punctual.operators.lookups import on_spine
+from punctual.session import cut_lineage
 from punctual.settings import Settings
 
 # fixed values: histogram ranges
@@ -72,7 +73,8 @@ def delay_histogram(flights: DataFrame, minutes: str) -> DataFrame:
 
 def equal_histogram(values: DataFrame, column: str, bins: int) -> DataFrame:
     """Equal-width bins over the data range, counted from distinct values."""
-    rows = compact(values.where(F.col(column).isNotNull()), column)
+    # written once: the range and the counts both read the distinct values, not the flights
+    rows = cut_lineage(compact(values.where(F.col(column).isNotNull()), column))
     ends = rows.select(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
     low, high = ends.getField("low"), ends.getField("high")
     flat = low == high

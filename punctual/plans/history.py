@@ -10,6 +10,7 @@ from punctual.functions import labels as L
 from punctual.functions.ratios import rate_pct
 from punctual.functions.weights import count_of, mean2_of
 from punctual.plans.reports import with_share
+from punctual.session import cut_lineage
 from punctual.settings import Settings
 from punctual.sources.schema import CAUSES
 
@@ -200,7 +201,11 @@ def _extreme_names(table: DataFrame, name: str) -> Column:
 
 
 def kpi_card(flights: DataFrame, s: Settings) -> DataFrame:
-    """Seventeen measures in one row, including the extreme airline and airport."""
+    """Seventeen measures in one row, including the extreme airline and airport.
+
+    The flights are read once, into one row per airline and route; the card and both
+    rankings read those rows.
+    """
     members = flights.groupBy("airline_name", "origin", "origin_city_name", "route").agg(
         count_of(flights).alias("flights"),
         count_of(flights, LATE).alias("delayed"),
@@ -211,6 +216,7 @@ def kpi_card(flights: DataFrame, s: Settings) -> DataFrame:
         F.max("arr_delay").alias("max_arr"),
         F.max("dep_delay").alias("max_dep"),
     )
+    members = cut_lineage(members)
 
     def ratio(top: str, bottom: str) -> Column:
         return F.round(F.try_divide(F.sum(top), F.sum(bottom)), 2)

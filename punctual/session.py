@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,7 +41,18 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder per run below the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows once to shared storage and go on from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows once to shared storage and go on from there.
+
+    A written table computes the plan once (a checkpoint would compute it for the
+    count and again for the write), survives lost executors and is read back with
+    only the columns a later step needs.
+    """
+    path = run_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
