@@ -188,11 +188,11 @@ FORECAST = {
     "fc_weekday_avg": q(f"SELECT {FC} FROM weekly", FORECASTS),
     "fc_mean28": q(f"SELECT {FC} FROM recent", FORECASTS),
     "fc_select_best": q(
-        "SELECT series_key, method FROM (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY mae, rmse, method) AS k FROM metrics) WHERE k = 1",
+        "SELECT series_key, method FROM (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY round(mae, 9), round(rmse, 9), method) AS k FROM metrics) WHERE k = 1",
         FORECASTS,
     ),
     "fc_select_best_rmse": q(
-        "SELECT series_key, method, round(rmse, 6) AS rmse FROM (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY rmse, method) AS k FROM metrics) WHERE k = 1",
+        "SELECT series_key, method, round(rmse, 6) AS rmse FROM (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY round(rmse, 9), method) AS k FROM metrics) WHERE k = 1",
         FORECASTS,
     ),
     "fc_actual_vs_forecast": q(
@@ -210,7 +210,7 @@ FORECAST = {
     ),
     "srt_multi_key": q(
         "SELECT method, round(avg(abs(y - yhat)), 6) AS mae, round(sqrt(avg((y - yhat)*(y - yhat))), 6) AS rmse FROM forecasts"
-        " GROUP BY method ORDER BY avg(abs(y - yhat)), sqrt(avg((y - yhat)*(y - yhat))), method LIMIT 1",
+        " GROUP BY method ORDER BY round(avg(abs(y - yhat)), 9), round(sqrt(avg((y - yhat)*(y - yhat))), 9), method LIMIT 1",
         FORECASTS,
     ),
 }

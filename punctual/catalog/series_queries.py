@@ -156,7 +156,7 @@ FORECASTS = {
         ).alias("name")
     ).groupBy(L.method_family("name").alias("family")).agg(F.count(F.lit(1)).alias("n_models")),
     "srt_multi_key": lambda t: rounded(
-        A.metrics(P.baselines(framed(t)), "method").orderBy("mae", "rmse", "method").limit(1)
+        P.best_overall(A.metrics(P.baselines(framed(t)), "method"))
     ).select("method", "mae", "rmse"),
 }
 

@@ -268,17 +268,27 @@ def every_method(framed: DataFrame, reach: int, only: DataFrame | None = None) -
     return together if only is None else together.join(only, ["series_key", "method"], "left_semi")
 
 
+def _ranking(column: str) -> Column:
+    # equal errors may differ in their last bits with the order rows were summed in
+    return F.round(column, 9)
+
+
 def select_best(metrics: DataFrame) -> DataFrame:
     """Lowest MAE per series; RMSE, then the name, decide ties."""
-    order = Window.partitionBy("series_key").orderBy("mae", "rmse", "method")
+    order = Window.partitionBy("series_key").orderBy(_ranking("mae"), _ranking("rmse"), "method")
     return metrics.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 
 
 def select_best_rmse(metrics: DataFrame, *keys: str) -> DataFrame:
-    picked = F.min_by(F.struct("method", "rmse"), F.struct("rmse", "method")).alias("best")
+    picked = F.min_by(F.struct("method", "rmse"), F.struct(_ranking("rmse"), F.col("method"))).alias("best")
     return metrics.groupBy(*keys).agg(picked).select(*keys, "best.method", "best.rmse")
 
 
+def best_overall(metrics: DataFrame) -> DataFrame:
+    """The first row in (MAE, RMSE, name) order."""
+    return metrics.orderBy(_ranking("mae"), _ranking("rmse"), "method").limit(1)
+
+
 def actual_and_forecast(framed: DataFrame, forecast: DataFrame, recent: int = 90) -> DataFrame:
     """Rows behind the forecast chart: recent training days, actual and forecast values."""
     history = tail(train(framed), recent).select("series_key", "ds", F.lit("train").alias("part"), "y")
