@@ -52,10 +52,16 @@ def replace_csv(df: DataFrame, path: str) -> str:
     return path
 
 
+def by_day(df: DataFrame) -> DataFrame:
+    """Range-partitioned by day, sorted inside; the row hash lets a crowded day span partitions."""
+    ranged = df.repartitionByRange("year", "fl_date", F.xxhash64(*df.columns))
+    return ranged.sortWithinPartitions("year", "fl_date")
+
+
 def replace_table(df: DataFrame, name: str, path: str | None = None, by_date: bool = True) -> DataFrame:
     """Drop-and-load of a Parquet table, range-ordered by date and partitioned by year."""
     if by_date and {"fl_date", "year"} <= set(df.columns):
-        df = df.repartitionByRange("fl_date").sortWithinPartitions("fl_date")
+        df = by_day(df)
     writer = df.write.mode("overwrite").format("parquet")
     if "year" in df.columns:
         writer = writer.partitionBy("year")
@@ -67,8 +73,7 @@ def replace_table(df: DataFrame, name: str, path: str | None = None, by_date: bo
 
 def write_flights(df: DataFrame, path: str) -> DataFrame:
     """The cleaned table as Parquet, one folder per year, ordered by date inside."""
-    ordered = df.repartitionByRange("year", "fl_date").sortWithinPartitions("year", "fl_date")
-    ordered.write.mode("overwrite").partitionBy("year").parquet(path)
+    by_day(df).write.mode("overwrite").partitionBy("year").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
