@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from punctual.llm import secret_automata
+from punctual.llm import curriculum, pii_votes, quality_trees, rule_limits, secret_automata
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,6 +17,30 @@ def op4_secret_automata(spark: SparkSession, folder: str) -> DataFrame:
     return secret_automata.digest(secret_automata.scan(documents(spark, folder)))
 
 
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/labels.parquet")
+
+
+def op5_quality_trees(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_trees.score(documents(spark, folder), labels(spark, folder))
+
+
+def op7_rule_limits(spark: SparkSession, folder: str) -> DataFrame:
+    return rule_limits.judge(documents(spark, folder), labels(spark, folder))
+
+
+def op8_curriculum(spark: SparkSession, folder: str) -> DataFrame:
+    return curriculum.mix(documents(spark, folder)).select("doc_id", *curriculum.ADDED)
+
+
+def op10_pii_votes(spark: SparkSession, folder: str) -> DataFrame:
+    return pii_votes.digest(pii_votes.scan(documents(spark, folder)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_automata": op4_secret_automata,
+    "op5_quality_trees": op5_quality_trees,
+    "op7_rule_limits": op7_rule_limits,
+    "op8_curriculum": op8_curriculum,
+    "op10_pii_votes": op10_pii_votes,
 }
