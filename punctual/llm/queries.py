@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from punctual.llm import curriculum, pii_votes, quality_trees, rule_limits, secret_automata
+from punctual.llm import curriculum, language_crf, pii_votes, quality_trees, rule_limits, secret_automata
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_quality_trees(spark: SparkSession, folder: str) -> DataFrame:
     return quality_trees.score(documents(spark, folder), labels(spark, folder))
 
 
+def op6_language_crf(spark: SparkSession, folder: str) -> DataFrame:
+    return language_crf.predict(documents(spark, folder))
+
+
 def op7_rule_limits(spark: SparkSession, folder: str) -> DataFrame:
     return rule_limits.judge(documents(spark, folder), labels(spark, folder))
 
@@ -40,6 +44,7 @@ def op10_pii_votes(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_automata": op4_secret_automata,
     "op5_quality_trees": op5_quality_trees,
+    "op6_language_crf": op6_language_crf,
     "op7_rule_limits": op7_rule_limits,
     "op8_curriculum": op8_curriculum,
     "op10_pii_votes": op10_pii_votes,
