@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from punctual.llm import curriculum, jaccard_partenum, language_crf, pii_votes, quality_trees, rule_limits, secret_automata
+from punctual.llm import curriculum, jaccard_partenum, language_crf, pii_votes, quality_trees, repeated_windows, rule_limits, secret_automata
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_jaccard_partenum(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_partenum.components(documents(spark, folder))
 
 
+def op2_repeated_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_windows.remove(documents(spark, folder), with_text=False)
+
+
 def op4_secret_automata(spark: SparkSession, folder: str) -> DataFrame:
     return secret_automata.digest(secret_automata.scan(documents(spark, folder)))
 
@@ -47,6 +51,7 @@ def op10_pii_votes(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_partenum": op1_jaccard_partenum,
+    "op2_repeated_windows": op2_repeated_windows,
     "op4_secret_automata": op4_secret_automata,
     "op5_quality_trees": op5_quality_trees,
     "op6_language_crf": op6_language_crf,
