@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from punctual.llm import curriculum, jaccard_partenum, language_crf, pii_votes, quality_trees, repeated_windows, rule_limits, secret_automata
+from punctual.llm import curriculum, jaccard_partenum, language_crf, latent_leaks, pii_votes, quality_trees, repeated_windows, rule_limits, secret_automata
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op2_repeated_windows(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_windows.remove(documents(spark, folder), with_text=False)
 
 
+def benchmark(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/benchmark.parquet")
+
+
+def op3_latent_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return latent_leaks.leaks(documents(spark, folder), benchmark(spark, folder))
+
+
 def op4_secret_automata(spark: SparkSession, folder: str) -> DataFrame:
     return secret_automata.digest(secret_automata.scan(documents(spark, folder)))
 
@@ -52,6 +60,7 @@ def op10_pii_votes(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_partenum": op1_jaccard_partenum,
     "op2_repeated_windows": op2_repeated_windows,
+    "op3_latent_leaks": op3_latent_leaks,
     "op4_secret_automata": op4_secret_automata,
     "op5_quality_trees": op5_quality_trees,
     "op6_language_crf": op6_language_crf,
