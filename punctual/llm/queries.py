@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from punctual.llm import curriculum, jaccard_partenum, language_crf, latent_leaks, pii_votes, quality_trees, repeated_windows, rule_limits, secret_automata
+from punctual.llm import curriculum, jaccard_partenum, katz_backoff, language_crf, latent_leaks, pii_votes, quality_trees, repeated_windows, rule_limits, secret_automata
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op8_curriculum(spark: SparkSession, folder: str) -> DataFrame:
     return curriculum.mix(documents(spark, folder)).select("doc_id", *curriculum.ADDED)
 
 
+def op9_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    return katz_backoff.score(documents(spark, folder))
+
+
 def op10_pii_votes(spark: SparkSession, folder: str) -> DataFrame:
     return pii_votes.digest(pii_votes.scan(documents(spark, folder)))
 
@@ -66,5 +70,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_crf": op6_language_crf,
     "op7_rule_limits": op7_rule_limits,
     "op8_curriculum": op8_curriculum,
+    "op9_katz_backoff": op9_katz_backoff,
     "op10_pii_votes": op10_pii_votes,
 }
