@@ -61,7 +61,7 @@ def time_of(share: Column, knots: tuple[float, ...]) -> Column:
         left = F.greatest(F.lit(0.0), need - F.lit(done))
         slope = (b - a) / step
         # a t + slope t^2 / 2 = left, in the form that is stable for any slope
-        root = 2.0 * left / (F.lit(a) + F.sqrt(F.greatest(F.lit(0.0), F.lit(a * a) + 2.0 * slope * left)))
+        root = F.coalesce(F.try_divide(2.0 * left, F.lit(a) + F.sqrt(F.greatest(F.lit(0.0), F.lit(a * a) + 2.0 * slope * left))), F.lit(0.0))
         at = F.lit(k * step) + F.least(F.lit(step), root)
         done += area
         out = F.when(need <= F.lit(done), at) if out is None else out.when(need <= F.lit(done), at) if k < len(areas) - 1 else out.otherwise(at)
