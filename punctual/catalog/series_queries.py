@@ -41,8 +41,8 @@ def framed(t) -> DataFrame:
 
 
 def stored_series(t) -> DataFrame:
-    """Gap-free series, written once: many fits then read days instead of flights."""
-    return cut_lineage(T.complete_only(filled(t)))
+    """Every day of every series, short gaps filled, written once: many fits then read days instead of flights."""
+    return cut_lineage(filled(t))
 
 
 def stored_frame(t) -> DataFrame:
@@ -62,18 +62,30 @@ def flagged(t) -> DataFrame:
 
 
 def validated(t) -> DataFrame:
-    forecasts = P.every_method(stored_frame(t), t.s.holiday_reach)
-    return A.metrics(forecasts).withColumn("family", L.method_family("method"))
+    """The full metrics row of every series and method on the validation period."""
+    frame = stored_frame(t)
+    forecasts = cut_lineage(P.every_method(frame, t.s.holiday_reach))
+    scores = P.with_status(A.diagnosed(forecasts), frame, t.s.min_train_days)
+    return scores.select(F.lit(period(t.s.holdout_start)).alias("period"), "*", L.method_family("method").alias("family"))
 
 
 def refitted(t) -> DataFrame:
-    """Choose on the validation period, then fit only the chosen method for the final period."""
+    """Choose on the validation period, then fit only the chosen method for the final period; a series without a choice keeps a row."""
     series = stored_series(t)
     validation = T.holdout(series, t.s.holdout_start, t.s.holdout_end)
-    scores = cut_lineage(A.metrics(P.every_method(validation, t.s.holiday_reach)))
+    scores = cut_lineage(A.metrics(P.every_method(validation, t.s.holiday_reach).where("yhat IS NOT NULL")))
     chosen = P.select_best(scores).select("series_key", "method")
     final = T.holdout(series, t.s.final_start, t.s.final_end)
-    return P.every_method(final, t.s.holiday_reach, chosen)
+    got = A.diagnosed(cut_lineage(P.every_method(final, t.s.holiday_reach, chosen)))
+    kept = P.with_status(got, final, t.s.min_train_days).join(chosen, ["series_key", "method"], "left_semi")
+    missing = series.select("series_key").distinct().join(chosen, "series_key", "left_anti").withColumn("status", F.lit(P.NO_FIT))
+    return kept.unionByName(missing, allowMissingColumns=True).select(F.lit(period(t.s.final_start)).alias("period"), "*")
+
+
+def period(start: str) -> str:
+    """Quarter of a period's first day."""
+    year, month, _ = start.split("-")
+    return f"Q{(int(month) + 2) // 3} {year}"
 
 
 def auto_with_holidays(frame: DataFrame) -> DataFrame:
@@ -141,7 +153,7 @@ FORECASTS = {
     "fc_select_best_rmse": lambda t: rounded(
         P.select_best_rmse(A.metrics(P.baselines(framed(t))), "series_key")
     ),
-    "fc_refit_test": lambda t: A.metrics(refitted(t)),
+    "fc_refit_test": refitted,
     "fc_actual_vs_forecast": lambda t: rounded(
         P.actual_and_forecast(framed(t), P.weekday_average(framed(t)))
     ),

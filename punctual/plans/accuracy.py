@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,7 @@ TAU_SMALL = (2.1659, 1.4412, 0.038269)
 TAU_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
 
 KEYS = ("series_key", "method")
+UNIT_ROOT_DAYS = 20
 
 
 def metrics(forecast: DataFrame, *keys: str) -> DataFrame:
@@ -39,6 +41,19 @@ def residuals(forecast: DataFrame) -> DataFrame:
     return both.select("series_key", "method", "ds", (F.col("y") - F.col("yhat")).alias("residual"))
 
 
+def diagnosed(forecast: DataFrame, *keys: str) -> DataFrame:
+    """Errors, residual moments and both residual tests: the full metrics row of a period, series and method."""
+    keys = keys or KEYS
+    res = residuals(forecast)
+    tests = ljung_box_pvalues(autocorrelation(res, "residual", max(PORTMANTEAU_LAGS), *keys), *keys)
+    named = [F.max(F.when(F.col("lag") == lag, F.col("p_value"))).alias(f"ljung_box_pvalue_lag_{lag}") for lag in PORTMANTEAU_LAGS]
+    shape = moments(res, *keys)
+    shape = shape.select(*keys, *[F.col(c).alias(f"residual_{c}") for c in shape.columns if c not in keys])
+    normal = jarque_bera(res, *keys).select(*keys, F.col("jb_pvalue").alias("jarque_bera_pvalue"))
+    parts = (shape, normal, tests.groupBy(*keys).agg(*named))
+    return reduce(lambda left, right: left.join(right, list(keys), "left"), parts, metrics(forecast.where("yhat IS NOT NULL"), *keys))
+
+
 def moments(res: DataFrame, *keys: str) -> DataFrame:
     """Centre, spread and shape; skewness and kurtosis corrected for sample size."""
     keys = keys or KEYS
@@ -172,7 +187,11 @@ def residual_histogram(res: DataFrame, bins: int = 30, *keys: str) -> DataFrame:
 
 
 def _unit_root(pdf: pd.DataFrame) -> pd.DataFrame:
-    y = pdf.sort_values("ds")["y"].to_numpy(float)
+    y = pdf.sort_values("ds")["y"].dropna().to_numpy(float)
+    if len(y) < UNIT_ROOT_DAYS or np.ptp(y) == 0:
+        reason = "Too short" if len(y) < UNIT_ROOT_DAYS else "Constant"
+        nothing = {name: pd.Series([None], dtype=kind) for name, kind in (("adf_stat", float), ("p_value", float), ("used_lag", "Int32"))}
+        return pd.DataFrame({"series_key": [pdf["series_key"].iloc[0]], **nothing, "n_obs": [len(y)], "verdict": [reason]})
     n, change = len(y), np.diff(y)
     longest = min(int(np.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 2)
 
@@ -190,8 +209,9 @@ def _unit_root(pdf: pd.DataFrame) -> pd.DataFrame:
 
     chosen = min(range(longest + 1), key=lambda k: (criterion(k), k))
     x, beta, squares, m = fit(chosen, chosen)
-    variance = squares / (m - x.shape[1]) * np.linalg.inv(x.T @ x)[0, 0]
-    stat = float(beta[0] / np.sqrt(variance))
+    variance = squares / (m - x.shape[1]) * np.linalg.pinv(x.T @ x)[0, 0]
+    # a series that its own lags explain exactly has no spread left
+    stat = float(beta[0] / np.sqrt(max(variance, 1e-300)))
     if stat > TAU_MAX:
         p = 1.0
     elif stat < TAU_MIN:
@@ -210,9 +230,10 @@ def _unit_root(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def unit_root(daily: DataFrame) -> DataFrame:
-    """Augmented Dickey-Fuller test with a constant, lag by AIC; one daily series per group."""
-    known = daily.where("y IS NOT NULL").select("series_key", "ds", "y")
-    long_enough = known.groupBy("series_key").count().where("count >= 20")
-    return known.join(long_enough, "series_key", "left_semi").groupBy("series_key").applyInPandas(
+    """Augmented Dickey-Fuller test with a constant, lag by AIC; one daily series per group.
+
+    A series that is too short or constant has a row without a statistic.
+    """
+    return daily.select("series_key", "ds", "y").groupBy("series_key").applyInPandas(
         _unit_root, "series_key string, adf_stat double, p_value double, used_lag int, n_obs int, verdict string"
     )

@@ -39,6 +39,8 @@ CALENDAR = "Calendar regression + holidays"
 
 RESULT = "series_key string, method string, ds date, y double, yhat double"
 MAX_ORDER = 3
+# fixed value: days of history that a fit needs
+MIN_TRAIN_DAYS = 90
 WEEK = 7
 # fixed values: published defaults of the additive calendar model
 CHANGEPOINTS, CHANGEPOINT_RANGE, CHANGEPOINT_SCALE = 25, 0.8, 0.05
@@ -108,58 +110,83 @@ def _design(y: np.ndarray, lags: list[int], start: int, extra: np.ndarray | None
     return np.column_stack(columns)
 
 
-def _autoregression(pdf: pd.DataFrame, lags: list[int], method: str, exogenous: bool) -> pd.DataFrame:
+def _known_rows(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Days whose value and lags are all known; gaps only take out the days that touch them."""
+    return np.isfinite(target) & np.isfinite(x).all(axis=1)
+
+
+def _result(future: pd.DataFrame, method: str, yhat) -> pd.DataFrame:
+    """Forecasts of the test days that have a value; without a fit they are null."""
+    out = pd.DataFrame(
+        {"series_key": future["series_key"], "method": method, "ds": future["ds"], "y": future["y"], "yhat": yhat}
+    )
+    return out[out["y"].notna()]
+
+
+def _path_values(y: np.ndarray) -> list[float]:
+    """History for the recursion: an unknown day takes the value a week before it, else the mean."""
+    mean, path = float(np.nanmean(y)), []
+    for i, value in enumerate(y):
+        path.append(float(value) if np.isfinite(value) else path[i - WEEK] if i >= WEEK else mean)
+    return path
+
+
+def _autoregression(pdf: pd.DataFrame, lags: list[int], method: str, exogenous: bool, least: int) -> pd.DataFrame:
     pdf = pdf.sort_values("ds")
     past, future = pdf[pdf["part"] == "train"], pdf[pdf["part"] == "test"]
     y = past["y"].to_numpy(float)
     start = max(lags, default=0)
-    extra = past["holiday_window"].to_numpy(float) if exogenous else None
-    beta = np.linalg.lstsq(_design(y, lags, start, extra), y[start:], rcond=None)[0]
-    path = list(y)
+    if np.isfinite(y).sum() < max(least, 1) or len(y) <= start:
+        return _result(future, method, np.nan)
+    x, target = _design(y, lags, start, past["holiday_window"].to_numpy(float) if exogenous else None), y[start:]
+    rows = _known_rows(x, target)
+    if rows.sum() <= x.shape[1]:
+        return _result(future, method, np.nan)
+    beta = np.linalg.lstsq(x[rows], target[rows], rcond=None)[0]
+    path = _path_values(y)
     for flag in future["holiday_window"].to_numpy(float):
         row = [1.0] + [path[-k] for k in lags] + ([flag] if exogenous else [])
         path.append(float(np.dot(beta, row)))
-    return pd.DataFrame(
-        {
-            "series_key": future["series_key"], "method": method, "ds": future["ds"],
-            "y": future["y"], "yhat": path[len(y):],
-        }
-    )
+    return _result(future, method, path[len(y):])
 
 
-def ar_fixed(framed: DataFrame) -> DataFrame:
+def ar_fixed(framed: DataFrame, least: int = MIN_TRAIN_DAYS) -> DataFrame:
     """Autoregression on lags 1, 7 and 8 with a constant, forecast step by step."""
     return framed.groupBy("series_key").applyInPandas(
-        lambda pdf: _autoregression(pdf, lag_set(1, 1), AR_FIXED, False), RESULT
+        lambda pdf: _autoregression(pdf, lag_set(1, 1), AR_FIXED, False, least), RESULT
     )
 
 
-def _criterion(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("ds")
-    p, seasonal = int(pdf["p"].iloc[0]), int(pdf["seasonal"].iloc[0])
-    y = pdf["y"].to_numpy(float)
-    lags = lag_set(p, seasonal)
-    # every candidate is scored on the same days
-    start = max(lag_set(MAX_ORDER, MAX_ORDER))
-    x = _design(y, lags, start, None)
-    target = y[start:]
-    residual = target - x @ np.linalg.lstsq(x, target, rcond=None)[0]
-    n = len(target)
-    aic = n * np.log(max(float(np.mean(residual**2)), 1e-12)) + 2 * (x.shape[1] + 1)
-    return pd.DataFrame({"series_key": [pdf["series_key"].iloc[0]], "p": [p], "seasonal": [seasonal], "aic": [aic]})
-
-
-def order_scores(framed: DataFrame) -> DataFrame:
-    """AIC of every order per series: candidates are fitted side by side."""
-    grid = F.array(
-        *[
-            F.struct(F.lit(p).alias("p"), F.lit(q).alias("seasonal"))
-            for p in range(MAX_ORDER + 1) for q in range(MAX_ORDER + 1)
-        ]
+def _criteria(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
+    """AIC of all orders of one series, each scored on the same days; no row has a value without enough days."""
+    y = pdf.sort_values("ds")["y"].to_numpy(float)
+    orders = [(p, q) for p in range(MAX_ORDER + 1) for q in range(MAX_ORDER + 1)]
+    everything = lag_set(MAX_ORDER, MAX_ORDER)
+    start, aic = max(everything), []
+    if np.isfinite(y).sum() >= max(least, 1) and len(y) > start:
+        whole, target = _design(y, everything, start, None), y[start:]
+        rows = _known_rows(whole, target)
+        whole, target = whole[rows], target[rows]
+        if len(target) > whole.shape[1]:
+            # one set of normal equations holds those of every order
+            gram, cross, total = whole.T @ whole, whole.T @ target, float(target @ target)
+            for p, q in orders:
+                own = [0] + [1 + everything.index(k) for k in lag_set(p, q)]
+                beta = np.linalg.lstsq(gram[np.ix_(own, own)], cross[own], rcond=None)[0]
+                squares = max(total - float(beta @ cross[own]), 0.0)
+                aic.append(len(target) * np.log(max(squares / len(target), 1e-12)) + 2 * (len(own) + 1))
+    return pd.DataFrame(
+        {
+            "series_key": pdf["series_key"].iloc[0], "p": [p for p, _ in orders], "seasonal": [q for _, q in orders],
+            "aic": aic or [np.nan] * len(orders),
+        }
     )
-    candidates = train(framed).select("series_key", "ds", "y", F.inline(grid))
-    return candidates.groupBy("series_key", "p", "seasonal").applyInPandas(
-        _criterion, "series_key string, p int, seasonal int, aic double"
+
+
+def order_scores(framed: DataFrame, least: int = MIN_TRAIN_DAYS) -> DataFrame:
+    """AIC of every order per series."""
+    return train(framed).groupBy("series_key").applyInPandas(
+        lambda pdf: _criteria(pdf, least), "series_key string, p int, seasonal int, aic double"
     )
 
 
@@ -168,14 +195,15 @@ def best_order(scores: DataFrame) -> DataFrame:
     return scores.groupBy("series_key").agg(chosen.alias("o")).select("series_key", "o.p", "o.seasonal", "o.aic")
 
 
-def ar_auto(framed: DataFrame, orders: DataFrame, holiday: bool = False) -> DataFrame:
+def ar_auto(framed: DataFrame, orders: DataFrame, holiday: bool = False, least: int = MIN_TRAIN_DAYS) -> DataFrame:
     method = AR_HOLIDAY if holiday else AR_AUTO
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lags = lag_set(int(pdf["p"].iloc[0]), int(pdf["seasonal"].iloc[0]))
-        return _autoregression(pdf, lags, method, holiday)
+        return _autoregression(pdf, lags, method, holiday, least)
 
-    joined = framed.join(orders.select("series_key", "p", "seasonal"), "series_key")
+    # a series without training days has no order; it stays, without a forecast
+    joined = framed.join(orders.select("series_key", "p", "seasonal"), "series_key", "left").na.fill(0, ["p", "seasonal"])
     return joined.groupBy("series_key").applyInPandas(run, RESULT)
 
 
@@ -195,10 +223,12 @@ def _calendar_matrix(ds: pd.Series, origin: pd.Timestamp, span: float, tags: pd.
     return np.column_stack(blocks + [flags])
 
 
-def _calendar_fit(pdf: pd.DataFrame) -> pd.DataFrame:
+def _calendar_fit(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
     pdf = pdf.sort_values("ds")
     pdf["ds"] = pd.to_datetime(pdf["ds"])
-    past, future = pdf[pdf["part"] == "train"], pdf[pdf["part"] == "test"]
+    past, future = pdf[(pdf["part"] == "train") & pdf["y"].notna()], pdf[pdf["part"] == "test"]
+    if len(past) < max(least, 1):
+        return _result(future.assign(ds=future["ds"].dt.date), CALENDAR, np.nan)
     y = past["y"].to_numpy(float)
     scale = max(np.abs(y).max(), 1e-9)
     origin = past["ds"].iloc[0]
@@ -218,15 +248,10 @@ def _calendar_fit(pdf: pd.DataFrame) -> pd.DataFrame:
         beta = np.linalg.solve(gram + np.diag(noise / widths**2), cross)
         noise = max(float(np.mean((target - x @ beta) ** 2)), 1e-8)
     ahead = _calendar_matrix(future["ds"], origin, span, future["tags"], known)
-    return pd.DataFrame(
-        {
-            "series_key": future["series_key"], "method": CALENDAR, "ds": future["ds"].dt.date,
-            "y": future["y"], "yhat": (ahead @ beta) * scale,
-        }
-    )
+    return _result(future.assign(ds=future["ds"].dt.date), CALENDAR, (ahead @ beta) * scale)
 
 
-def calendar_regression(framed: DataFrame, reach: int) -> DataFrame:
+def calendar_regression(framed: DataFrame, reach: int, least: int = MIN_TRAIN_DAYS) -> DataFrame:
     """Ridge on piecewise-linear trend, yearly and weekly terms and one effect per holiday and offset."""
     tags = (
         holiday_offsets(holiday_calendar(framed), reach)
@@ -236,7 +261,7 @@ def calendar_regression(framed: DataFrame, reach: int) -> DataFrame:
     empty = F.array().cast("array<string>")
     tagged = framed.join(tags, "ds", "left").withColumn("tags", F.coalesce("tags", empty))
     return tagged.select("series_key", "ds", "y", "part", "tags").groupBy("series_key").applyInPandas(
-        _calendar_fit, RESULT
+        lambda pdf: _calendar_fit(pdf, least), RESULT
     )
 
 
@@ -244,8 +269,31 @@ def with_holiday_flag(framed: DataFrame, reach: int) -> DataFrame:
     return near_holiday(framed, holiday_calendar(framed), reach)
 
 
+METHODS = (NAIVE, SEASONAL, WEEKDAY, MEAN_28, AR_FIXED, AR_AUTO, AR_HOLIDAY, CALENDAR)
+OK, NO_TRAIN, SHORT, NO_TEST, NO_FIT = "ok", "no training days", "too few training days", "no test days", "no forecast"
+
+
+def with_status(scores: DataFrame, framed: DataFrame, least: int = MIN_TRAIN_DAYS, methods: tuple[str, ...] = METHODS) -> DataFrame:
+    """One row per series and method, with its scores or with the reason why it has none."""
+    known = framed.groupBy("series_key").agg(
+        F.count_if((F.col("part") == "train") & F.col("y").isNotNull()).alias("n_train"),
+        F.count_if((F.col("part") == "test") & F.col("y").isNotNull()).alias("n_test"),
+    )
+    pairs = known.select("*", F.explode(F.array(*map(F.lit, methods))).alias("method"))
+    # the baselines need one training day, the fits need ``least``
+    fitted = F.col("method").isin(AR_FIXED, AR_AUTO, AR_HOLIDAY, CALENDAR)
+    status = (
+        F.when(F.col("n_train") == 0, NO_TRAIN).when(fitted & (F.col("n_train") < least), SHORT)
+        .when(F.col("n_test") == 0, NO_TEST).when(F.col("mae").isNull(), NO_FIT).otherwise(OK)
+    )
+    return pairs.join(scores, ["series_key", "method"], "left").withColumn("status", status)
+
+
 def every_method(framed: DataFrame, reach: int, only: DataFrame | None = None) -> DataFrame:
-    """Forecasts of all methods; ``only`` (series_key, method) restricts the fits to chosen pairs."""
+    """Forecasts of all methods; ``only`` (series_key, method) restricts the fits to chosen pairs.
+
+    ``framed`` holds every day of a series; days without a value only count for the fits' grids.
+    """
     framed = with_holiday_flag(framed, reach)
 
     def part(*methods: str) -> DataFrame:
@@ -258,7 +306,7 @@ def every_method(framed: DataFrame, reach: int, only: DataFrame | None = None) -
     together = reduce(
         DataFrame.unionByName,
         [
-            baselines(part(NAIVE, SEASONAL, WEEKDAY, MEAN_28)),
+            baselines(part(NAIVE, SEASONAL, WEEKDAY, MEAN_28).where("y IS NOT NULL")),
             ar_fixed(part(AR_FIXED)),
             ar_auto(part(AR_AUTO), orders),
             ar_auto(part(AR_HOLIDAY), orders, holiday=True),

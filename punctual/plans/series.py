@@ -95,12 +95,6 @@ def drop_unfilled(daily: DataFrame) -> DataFrame:
     return daily.where("y IS NOT NULL")
 
 
-def complete_only(daily: DataFrame) -> DataFrame:
-    """Series without any gap left; the others are listed by :func:`remaining_missing`."""
-    gaps = daily.groupBy("series_key").agg(F.count_if(F.col("y").isNull()).alias("gaps")).where("gaps = 0")
-    return daily.join(gaps, "series_key", "left_semi")
-
-
 def summary(daily: DataFrame) -> DataFrame:
     return daily.groupBy("series_key").agg(
         F.min("ds").alias("first_day"),

@@ -62,6 +62,57 @@ def test_autoregression_recovers_a_cycle(spark):
         assert scores.mae < 0.6
 
 
+def ragged(spark):
+    """A long series with a long gap, short ones of 0, 6, 20 and 89 training days, and one that ends before the test days."""
+    rng = np.random.default_rng(4)
+    rows = [("gap", DAY + dt.timedelta(days=i), None if 100 <= i < 130 else float(20 + (i % 7) + rng.normal())) for i in range(430)]
+    for days in (0, 6, 20, 89):
+        first = DAY + dt.timedelta(days=400 - days)
+        rows += [(f"d{days}", first + dt.timedelta(days=i), float(20 + (i % 7))) for i in range(days + 30)]
+    rows += [("early", DAY + dt.timedelta(days=i), float(i % 7)) for i in range(200)]
+    daily = spark.createDataFrame(rows, "series_key string, ds date, y double")
+    first = DAY + dt.timedelta(days=400)
+    return T.holdout(daily, str(first), str(first + dt.timedelta(days=29)))
+
+
+def test_no_series_is_lost(spark):
+    framed = ragged(spark).cache()
+    forecasts = P.every_method(framed, 2).cache()
+    got = {(r.series_key, r.method): r for r in P.with_status(A.diagnosed(forecasts), framed).collect()}
+    assert len(got) == 6 * 8
+    fitted = (P.AR_FIXED, P.AR_AUTO, P.AR_HOLIDAY, P.CALENDAR)
+    for method in P.METHODS:
+        assert got["gap", method].status == P.OK and got["gap", method].mae < 8
+        assert got["d0", method].status == P.NO_TRAIN and got["early", method].status == P.NO_TEST
+        for days in (6, 20, 89):
+            assert got[f"d{days}", method].status == (P.SHORT if method in fitted else P.OK)
+    # fits without enough days have rows without a forecast
+    rows = forecasts.where("series_key = 'd20' AND method = 'AR(1)(1)7'").collect()
+    assert len(rows) == 30 and all(r.yhat is None for r in rows)
+
+
+def test_fit_around_a_gap(spark):
+    """Coefficients are those of least squares on the days whose lags are known."""
+    framed = ragged(spark).where("series_key = 'gap'")
+    y = np.array([np.nan if r.y is None else r.y for r in framed.orderBy("ds").collect()])[:400]
+    rows = [t for t in range(8, 400) if np.isfinite(y[[t, t - 1, t - 7, t - 8]]).all()]
+    x = np.array([[1, y[t - 1], y[t - 7], y[t - 8]] for t in rows])
+    beta = np.linalg.lstsq(x, y[rows], rcond=None)[0]
+    path = list(y)
+    for _ in range(30):
+        path.append(float(beta @ [1, path[-1], path[-7], path[-8]]))
+    got = [r.yhat for r in P.ar_fixed(P.with_holiday_flag(framed, 2)).orderBy("ds").collect()]
+    assert got == pytest.approx(path[400:])
+
+
+def test_short_series_in_order_search_and_unit_root(spark):
+    framed = ragged(spark)
+    orders = {r.series_key: r for r in P.best_order(P.order_scores(framed)).collect()}
+    assert set(orders) == {"gap", "d6", "d20", "d89", "early"} and orders["d6"].aic is None
+    roots = {r.series_key: r for r in A.unit_root(framed.where("part = 'train'")).collect()}
+    assert roots["d6"].verdict == "Too short" and roots["d6"].adf_stat is None and roots["gap"].adf_stat is not None
+
+
 def test_order_search_prefers_weekly_terms(spark):
     rng = np.random.default_rng(1)
     y = [20.0] * 7
