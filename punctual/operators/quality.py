@@ -54,11 +54,12 @@ def row_conservation(parts: DataFrame, merged: DataFrame, source: str) -> DataFr
     ).select("n_sources", "source_rows", total.alias("merged_rows"), (F.col("source_rows") == total).alias("ok"))
 
 
-def missing_counts(df: DataFrame, top: int = 10) -> DataFrame:
-    """Nulls per column in one pass, largest first."""
+def missing_counts(df: DataFrame, top: int | None = 10) -> DataFrame:
+    """Nulls per column in one pass, largest first; all columns without ``top``."""
     counts = df.agg(*[F.sum(F.isnull(c).cast("bigint")).alias(c) for c in df.columns])
     long = counts.unpivot([], counts.columns, "column_name", "n_missing")
-    return long.orderBy(F.desc("n_missing"), "column_name").limit(top)
+    ordered = long.orderBy(F.desc("n_missing"), "column_name")
+    return ordered if top is None else ordered.limit(top)
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:

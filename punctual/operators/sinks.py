@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.functions.weights import compact
@@ -46,34 +47,64 @@ EXPORTS: dict[str, tuple[str, Callable]] = {
 }
 
 
-def replace_csv(df: DataFrame, path: str) -> str:
-    """The committer publishes the files only when every task has finished."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+def swap_in(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put a finished folder in the place of another; the old one goes last and comes back if the swap fails."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    old = paths(f"{path}.old-{uuid.uuid4().hex}")
+    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    had = files.exists(paths(path))
+    if had and not files.rename(paths(path), old):
+        raise OSError(f"cannot move {path} aside")
+    if not files.rename(paths(fresh), paths(path)):
+        if had:
+            files.rename(old, paths(path))
+        raise OSError(f"cannot move {fresh} to {path}")
+    if had:
+        files.delete(old, True)
+
+
+def written_aside(df: DataFrame, path: str, write: Callable[[DataFrame, str], None]) -> str:
+    """Write a sibling folder, then swap it in: readers see the old output until the new one is whole."""
+    fresh = f"{path}.new-{uuid.uuid4().hex}"
+    try:
+        write(df, fresh)
+    except Exception:
+        spark = df.sparkSession
+        part = spark._jvm.org.apache.hadoop.fs.Path(fresh)
+        part.getFileSystem(spark._jsc.hadoopConfiguration()).delete(part, True)
+        raise
+    swap_in(df.sparkSession, fresh, path)
     return path
 
 
+def replace_csv(df: DataFrame, path: str) -> str:
+    return written_aside(df, path, lambda rows, to: rows.write.option("header", True).csv(to))
+
+
 def by_day(df: DataFrame) -> DataFrame:
     """Range-partitioned by day, sorted inside; the row hash lets a crowded day span partitions."""
     ranged = df.repartitionByRange("year", "fl_date", F.xxhash64(*df.columns))
     return ranged.sortWithinPartitions("year", "fl_date")
 
 
-def replace_table(df: DataFrame, name: str, path: str | None = None, by_date: bool = True) -> DataFrame:
-    """Drop-and-load of a Parquet table, range-ordered by date and partitioned by year."""
+def replace_table(df: DataFrame, name: str, path: str, by_date: bool = True) -> DataFrame:
+    """Replace a Parquet table, range-ordered by date and partitioned by year; a failed load leaves the old one."""
     if by_date and {"fl_date", "year"} <= set(df.columns):
         df = by_day(df)
-    writer = df.write.mode("overwrite").format("parquet")
-    if "year" in df.columns:
-        writer = writer.partitionBy("year")
-    if path:
-        writer = writer.option("path", path)
-    writer.saveAsTable(name)
-    return df.sparkSession.table(name)
+    keys = ["year"] if "year" in df.columns else []
+    written_aside(df, path, lambda rows, to: rows.write.partitionBy(*keys).parquet(to))
+    spark = df.sparkSession
+    if not spark.catalog.tableExists(name):
+        spark.catalog.createTable(name, path=path, source="parquet")
+    if keys:
+        spark.catalog.recoverPartitions(name)
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
 
 
 def write_flights(df: DataFrame, path: str) -> DataFrame:
     """The cleaned table as Parquet, one folder per year, ordered by date inside."""
-    by_day(df).write.mode("overwrite").partitionBy("year").parquet(path)
+    written_aside(by_day(df), path, lambda rows, to: rows.write.partitionBy("year").parquet(to))
     return df.sparkSession.read.parquet(path)
 
 

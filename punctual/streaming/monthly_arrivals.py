@@ -1,18 +1,20 @@
 """Monthly files cleaned as they arrive, with the batch cleaning chain.
 
-A month's flights arrive in one file and exact copies share their flight date, so
-removing copies per micro-batch equals removing them over the whole table as long
-as a file is delivered whole. Each micro-batch overwrites its own folder: a
-replayed batch after a failure leaves the same rows.
+Exact copies are removed across batches: each batch notes two hashes of its raw rows
+beside their flight date, and rows that an earlier batch has noted are left out, so the
+result does not depend on how files fall into batches. Each micro-batch overwrites its
+own folders: a replayed batch after a failure leaves the same rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from punctual.operators.cleaning import clean
+from punctual.operators.cleaning import clean, keep_columns, require_columns, snake_case
 from punctual.plans.series import daily_rate
+from punctual.session import cut_lineage
 from punctual.sources.schema import FLIGHT_COLUMNS, landing_schema
 
 
@@ -26,9 +28,22 @@ def arriving(spark: SparkSession, folder: str, columns=FLIGHT_COLUMNS, files_per
 
 def clean_arrivals(arrivals: DataFrame, table: str, progress: str) -> StreamingQuery:
     """Process everything that has arrived, then stop; run again for the next month."""
+    spark, seen = arrivals.sparkSession, f"{table}.seen"
+    noted = "day string, h1 bigint, h2 bigint"
+    # an empty first folder: later batches read what is noted without asking whether there is any
+    spark.createDataFrame([], noted).write.mode("overwrite").parquet(f"{seen}/batch=-1")
 
     def write(batch: DataFrame, number: int) -> None:
-        clean(batch).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        rows = keep_columns(require_columns(snake_case(batch))).dropDuplicates()
+        marked = rows.withColumns({
+            "day": F.col("fl_date").cast("string"),
+            "h1": F.xxhash64(*rows.columns), "h2": F.xxhash64(F.lit(1), *reversed(rows.columns)),
+        })
+        earlier = spark.read.schema(f"{noted}, batch bigint").parquet(seen).where(F.col("batch") < number)
+        same = marked["day"].eqNullSafe(earlier["day"]) & (marked["h1"] == earlier["h1"]) & (marked["h2"] == earlier["h2"])
+        new = cut_lineage(marked.join(earlier, same, "left_anti"))
+        new.select("day", "h1", "h2").write.mode("overwrite").parquet(f"{seen}/batch={number}")
+        clean(new.drop("day", "h1", "h2")).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return (
         arrivals.writeStream.foreachBatch(write)

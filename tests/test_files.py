@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as SF
 
 from punctual.operators import cleaning as C
 from punctual.operators import quality as Q
@@ -81,6 +82,30 @@ def test_arriving_files(spark, tables, tmp_path):
     assert monthly_arrivals.current_daily_rate(spark, table).count() > 0
 
 
+def test_copies_in_other_batches(spark, tables, tmp_path):
+    """A month that arrives twice, in several part files, one file per batch."""
+    flights = tables.scheduled(places=True).drop("airline_name").where("year = 1996 AND month = 3").repartition(3)
+    months, table, progress = (str(tmp_path / n) for n in ("months", "table", "progress"))
+    F.write_months(flights, f"{months}/a")
+    F.write_months(flights, f"{months}/b")
+    arrivals = monthly_arrivals.arriving(spark, months, COLUMNS, files_per_batch=1)
+    monthly_arrivals.clean_arrivals(arrivals, table, progress).awaitTermination()
+    stored = spark.read.parquet(table)
+    assert stored.count() == tables.operated().where("year = 1996 AND month = 3").count()
+
+
+def test_a_failing_write_leaves_the_old_output(spark, tmp_path):
+    path = str(tmp_path / "out")
+    K.replace_csv(spark.range(5), path)
+    bad = spark.range(9).select(SF.when(SF.col("id") < 8, SF.col("id")).otherwise(SF.raise_error(SF.lit("stop"))).alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        K.replace_csv(bad, path)
+    assert spark.read.csv(path, header=True).count() == 5
+    K.replace_csv(spark.range(7), path)
+    assert spark.read.csv(path, header=True).count() == 7
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
 def test_results_do_not_depend_on_partitions(spark, tables):
     results = []
     for n in ("1", "8"):
