@@ -19,8 +19,10 @@ from punctual.session import cut_lineage, run_folder
 
 
 def modelling_rows(t) -> DataFrame:
-    flights = M.labelled(M.select(t.operated(places=True)))
-    return S.time_split(S.fraction(flights, t.s.model_percent, t.s.sample_seed), t.s)
+    """Training rows are a sample of flights; every validation and test row is scored and measured."""
+    flights = S.time_split(t.operated(places=True), t.s)
+    chosen = S.chosen_flight(t.s.model_percent, t.s.sample_seed)
+    return M.labelled(M.select(flights.where((F.col("split") != "train") | chosen), "split"))
 
 
 def holey_rows(t) -> DataFrame:
@@ -191,10 +193,9 @@ def both_splits(t) -> DataFrame:
 
 
 def linear_contributions(t) -> DataFrame:
+    """Every test row against the mean of every training row."""
     p = prepared(t)
-    background = p.train.orderBy("fl_date", F.xxhash64(F.col("features").cast("string"))).limit(t.s.background_rows)
-    explained = p.test.orderBy("fl_date", F.xxhash64(F.col("features").cast("string"))).limit(t.s.explained_rows)
-    return X.contributions(p.fit(C.LOGISTIC), cut_lineage(background), cut_lineage(explained), p.names)
+    return X.contributions(p.fit(C.LOGISTIC), p.train, p.test, p.names, range(len(M.NUMERIC)))
 
 
 def importance_of(*models: str):

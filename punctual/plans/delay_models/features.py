@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from punctual.functions.weights import compact
+from punctual.session import cut_lineage
 
 # fixed values: predictors known before departure
 NUMERIC = (
@@ -21,9 +22,9 @@ RARE = "__infrequent__"
 HOT = "__hot"
 
 
-def select(flights: DataFrame) -> DataFrame:
+def select(flights: DataFrame, *more: str) -> DataFrame:
     """Date, target and the predictors; nothing recorded after scheduling."""
-    return flights.select("fl_date", TARGET, *NUMERIC, *CATEGORICAL)
+    return flights.select("fl_date", TARGET, *NUMERIC, *CATEGORICAL, *more)
 
 
 def labelled(flights: DataFrame) -> DataFrame:
@@ -118,10 +119,11 @@ class Preparation:
 
 
 def fit(train: DataFrame, rare_rows: int) -> Preparation:
-    counts = category_counts(train)
-    mode = modes(counts)
-    ready = Preparation(numeric_stats(train), mode, vocabulary(counts, mode), rare_rows)
-    flat = ready.flat(train)
+    # statistics, modes and vocabulary are small tables that every later use reads instead of the flights
+    counts = cut_lineage(category_counts(train))
+    mode = cut_lineage(modes(counts))
+    ready = Preparation(cut_lineage(numeric_stats(train)), mode, cut_lineage(vocabulary(counts, mode)), rare_rows)
+    flat = cut_lineage(ready.flat(train))
     indexed = [f"{c}__ix" for c in CATEGORICAL]
     hot = [f"{c}{HOT}" for c in CATEGORICAL]
     # an unseen category becomes the extra last index, which the encoder drops: all zeros

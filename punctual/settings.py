@@ -41,7 +41,6 @@ class Settings:
     sample_seed: int = 42
     model_percent: int = 10
     rare_category_rows: int = 100
-    background_rows: int = 200
     explained_rows: int = 1000
 
     # fixed values: forecasting periods
