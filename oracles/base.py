@@ -1,5 +1,8 @@
 """The flight table as ANSI SQL common table expressions over the base tables."""
 
+from punctual.functions.features import DISTANCE_GROUPS
+from punctual.sources.carriers import CARRIER_NAMES
+
 SCHEDULED = """
 line AS (
   SELECT *, CAST(l_shipdate AS DATE) AS fl_date,
@@ -55,14 +58,9 @@ line AS (
   LEFT JOIN nation o ON s_nationkey = o.n_nationkey
 )"""
 
-CARRIER = """CASE op_unique_carrier
-    WHEN 'AA' THEN 'American Airlines' WHEN 'AS' THEN 'Alaska Airlines' WHEN 'B6' THEN 'JetBlue Airways'
-    WHEN 'DL' THEN 'Delta Air Lines' WHEN 'F9' THEN 'Frontier Airlines' WHEN 'G4' THEN 'Allegiant Air'
-    WHEN 'HA' THEN 'Hawaiian Airlines' WHEN 'NK' THEN 'Spirit Airlines' WHEN 'OH' THEN 'PSA Airlines'
-    WHEN 'OO' THEN 'SkyWest Airlines' WHEN 'QX' THEN 'Horizon Air' WHEN 'UA' THEN 'United Airlines'
-    WHEN 'WN' THEN 'Southwest Airlines' WHEN 'YV' THEN 'Mesa Airlines' WHEN 'YX' THEN 'Republic Airways'
-    WHEN 'MQ' THEN 'Envoy Air' WHEN '9E' THEN 'Endeavor Air' WHEN 'PT' THEN 'Piedmont Airlines'
-    WHEN 'EV' THEN 'ExpressJet Airlines' ELSE op_unique_carrier END"""
+CARRIER = "CASE op_unique_carrier {} ELSE op_unique_carrier END".format(
+    " ".join(f"WHEN '{code}' THEN '{name}'" for code, name in CARRIER_NAMES.items())
+)
 
 CAUSE = """CASE WHEN greatest(carrier_delay, weather_delay, nas_delay, security_delay, late_aircraft_delay) <= 0 THEN 'no_reported_cause'
     WHEN carrier_delay >= greatest(weather_delay, nas_delay, security_delay, late_aircraft_delay) THEN 'carrier_delay'
@@ -71,8 +69,9 @@ CAUSE = """CASE WHEN greatest(carrier_delay, weather_delay, nas_delay, security_
     WHEN security_delay >= late_aircraft_delay THEN 'security_delay'
     ELSE 'late_aircraft_delay' END"""
 
-DISTANCE = """CASE WHEN distance < 500 THEN '1. Short (<500 mi)' WHEN distance < 1000 THEN '2. Medium (500-999 mi)'
-    WHEN distance < 2000 THEN '3. Long (1000-1999 mi)' ELSE '4. Very Long (2000+ mi)' END"""
+DISTANCE = "CASE {} ELSE '{}' END".format(
+    " ".join(f"WHEN distance < {upper} THEN '{name}'" for name, upper in DISTANCE_GROUPS[:-1]), DISTANCE_GROUPS[-1][0]
+)
 
 
 def category(minutes: str) -> str:
