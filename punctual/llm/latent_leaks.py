@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from punctual.llm.words import keep_batches, map_batches, pieces, split
 from punctual.session import cut_lineage
 
-FEATURES, RANK, LEAD, EXTRA, FIT_DOCS, PASSES = 1 << 15, 128, 8, 8, 300, 2
+FEATURES, RANK, LEAD, EXTRA, FIT_DOCS, PASSES = 1 << 14, 128, 8, 8, 300, 2
 PASSAGE, HALF = 32, 16
 NEAR, SAME, ALIKE, ANSWER, SHORT, COMMON = 0.6, 0.8, 0.6, 0.8, 8, 2.0
 BENCHMARK_WORDS = 1 << 22
@@ -173,7 +173,8 @@ def latent_space(docs: DataFrame, texts: list[str], idf: np.ndarray, id_col: str
     # at most FIT_DOCS narrow rows
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "_id").orderBy(F.xxhash64("_id"), F.xxhash64("text")).limit(2 * FIT_DOCS).select("text")
     known = spark.createDataFrame([(t,) for t in texts], "text string").unionByName(sample)
-    rows = cut_lineage(known)
+    # a bounded number of texts: two tasks, each of which sends one dense block of sums
+    rows = cut_lineage(known.coalesce(2))
     columns = LEAD + RANK + EXTRA
 
     def gram(basis: np.ndarray) -> np.ndarray:
@@ -200,18 +201,23 @@ def latent_space(docs: DataFrame, texts: list[str], idf: np.ndarray, id_col: str
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([b.astype("<f4").tobytes() for b in blocks], pa.binary())], names=["block", "packed"])
 
         got = rows.mapInArrow(work, "block int, packed binary").groupBy("block").applyInArrow(lambda part: add_up(part, "<f4"), "block int, packed binary").collect()
-        out = np.zeros((FEATURES // BLOCK, BLOCK * columns))
+        out = np.zeros((FEATURES // BLOCK, BLOCK * columns), np.float32)
         for r in got:
             out[r["block"]] = np.frombuffer(r["packed"], "<f4")
         return out.reshape(FEATURES, columns)
 
-    q, _ = np.linalg.qr(random_basis(columns).astype(float))
+    q = np.linalg.qr(random_basis(columns))[0]
     for _ in range(PASSES):
-        q, _ = np.linalg.qr(gram(q.astype(np.float32)))
-    small = q.T @ gram(q.astype(np.float32))
+        q = np.linalg.qr(gram(q))[0]
+    small = (q.T @ gram(q)).astype(float)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
-    order = np.argsort(-values)[LEAD : LEAD + RANK]
-    return (q @ vectors[:, order] / np.sqrt(np.maximum(values[order], 1e-9))).astype(np.float32)
+    order = np.argsort(-values)
+    order = order[values[order] > 1e-6 * max(values.max(), 1e-12)]
+    # a few passages have no directions to spare
+    order = order[min(LEAD, max(0, len(order) - RANK)) :][:RANK]
+    out = np.zeros((FEATURES, RANK), np.float32)
+    out[:, : len(order)] = q @ vectors[:, order] / np.sqrt(values[order])
+    return out
 
 
 def common(a: list[str], b: list[str]) -> int:

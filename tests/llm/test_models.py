@@ -226,7 +226,7 @@ def test_leaks_of_odd_rows_and_paraphrases(spark, none):
     item = "Which river flows through the old capital city of the northern kingdom before reaching the wide grey sea? It is the silver Arden river."
     near = "Note: which great river flows through the old capital of the northern kingdom before it is reaching the grey sea? it is the silver Arden river! end"
     filler = " ".join(f"word{i}" for i in range(300))
-    docs = spark.createDataFrame(odd_rows() + rows([(f"{filler} {near} {filler}", "en", "a"), (filler, "en", "a"), (item.upper(), "en", "a")], 100), SCHEMA)
+    docs = spark.createDataFrame(odd_rows() + rows([(f"A short introduction. {near} And so it ends.", "en", "a"), (filler, "en", "a"), (item.upper(), "en", "a")], 100), SCHEMA)
     bench = spark.createDataFrame([(7, item), (8, None), (None, item), (9, " "), (10, "tiny item")], "item_id bigint, text string")
     got = {(r["doc_id"], r["item_id"]) for r in latent_leaks.leaks(docs, bench).collect()}
     assert got == {(100, 7), (102, 7)}
