@@ -33,7 +33,7 @@ from punctual.llm.words import LOWER, Words, fold, keep_batches, map_batches, pi
 
 FOLDS, HELD_OUT = 5, 0
 FIT_DOCS, FIT_CHARS, EPOCHS, BATCH, STEP, RIDGE = 1200, 20_000, 4, 40, 0.3, 1e-6
-GRAMS, AFFIXES, SLOTS, BLOCK = 1 << 15, 1 << 13, 1 << 22, 1 << 12
+GRAMS, AFFIXES, SLOTS, BLOCK = 1 << 15, 1 << 13, 1 << 21, 1 << 12
 SEGMENT, KEEP = 32, 0.5
 LETTER = table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + bytes(range(0xC3, 0x100)))
 ASCII_LETTER = table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
@@ -214,7 +214,7 @@ def count_words(docs: DataFrame, languages: tuple[str, ...], slots: int, text_co
 
     kind = "language int, block int, counts binary"
     rows = docs.select(F.col(text_col), F.col(lang_col)).mapInArrow(work, kind).groupBy("language", "block").applyInArrow(add, kind).collect()
-    counts = np.zeros((len(languages), slots // min(BLOCK, slots), min(BLOCK, slots)))
+    counts = np.zeros((len(languages), slots // min(BLOCK, slots), min(BLOCK, slots)), np.float32)
     for r in rows:
         counts[r["language"], r["block"]] = np.frombuffer(r["counts"], "<i8")
     return counts.reshape(len(languages), slots).T
@@ -246,7 +246,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predictions(texts: pa.Array, field: Field | None) -> tuple[list[str], np.ndarray]:
     names, scores = [], [np.zeros(0)]
-    for lo, hi, data, edges in pieces(texts, 1 << 20):
+    for lo, hi, data, edges in pieces(texts, 1 << 19):
         if field is None:
             names += ["und"] * (hi - lo)
             scores.append(np.zeros(hi - lo))
