@@ -34,7 +34,7 @@ from punctual.llm.words import LOWER, Words, fold, keep_batches, map_batches, pi
 FOLDS, HELD_OUT = 5, 0
 FIT_DOCS, FIT_CHARS, EPOCHS, BATCH, STEP, RIDGE = 1200, 20_000, 4, 40, 0.3, 1e-6
 GRAMS, AFFIXES, SLOTS, BLOCK = 1 << 15, 1 << 13, 1 << 21, 1 << 12
-SEGMENT, KEEP = 32, 0.5
+SEGMENT, KEEP = 32, 0.3
 LETTER = table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + bytes(range(0xC3, 0x100)))
 ASCII_LETTER = table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
