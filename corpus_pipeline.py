@@ -13,7 +13,7 @@ from punctual.session import cut_lineage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of which no language holds half of the words, go."""
+    """Documents without a letter, or of which no language holds three tenths of the words, go."""
     return language_crf.keep_identified(docs)
 
 
