@@ -6,7 +6,9 @@ passages gives latent directions: all benchmark passages and those of at most ``
 documents (least id hash) are multiplied with random vectors and orthonormalised, twice
 over, as Spark sums of per-task products. Every passage of every whole text
 (``PASSAGE`` words, every half passage) is projected and compared with all benchmark
-passages by cosine; those of at least ``NEAR`` are candidates. For each candidate the
+passages by cosine; those of at least ``NEAR`` are candidates. So is, whatever its cosine,
+every place around which enough of an item's rarer words stand for the check below to
+accept it: a lookup by exact word, which leaves nothing out. For each candidate the
 longest common subsequence between the benchmark item and the text around the passage
 decides: ``SAME`` of the item's words, or ``ALIKE`` of them and also ``ANSWER`` of the
 item's answer, its last sentence. This finds copies and paraphrases that keep the order.
@@ -29,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punctual.llm.words import keep_batches, map_batches, pieces, split
+from punctual.llm.words import BLANK, keep_batches, map_batches, pieces, span_hashes, split, table
 from punctual.session import cut_lineage
 
 FEATURES, RANK, LEAD, EXTRA, FIT_DOCS, PASSES = 1 << 14, 128, 8, 8, 300, 2
 PASSAGE, HALF = 32, 16
-NEAR, SAME, ALIKE, ANSWER, SHORT, COMMON = 0.6, 0.8, 0.6, 0.8, 8, 2.0
+NEAR, SAME, ALIKE, ANSWER, SHORT, COMMON, FREQUENT, LEADS = 0.6, 0.8, 0.6, 0.8, 8, 2.0, 0.01, 4
 BENCHMARK_WORDS = 1 << 22
 BLOCK = 1 << 11
 U64 = np.uint64
@@ -72,7 +74,7 @@ class Items:
 
 def words_of(text: str) -> list[str]:
     """Lower-cased words without marks at their ends."""
-    return [w for w in (x.strip(".,;:!?()[]{}\"'*#$%&|<>") for x in text.lower().split()) if w]
+    return [w for w in (x.strip(MARKS) for x in text.lower().split()) if w]
 
 
 def items_of(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[Items, list[str]]:
@@ -94,19 +96,34 @@ def items_of(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[Items,
     return Items(ids, words, answer), texts
 
 
-def strip_marks(data: np.ndarray) -> np.ndarray:
-    """Bytes with marks turned into blanks, so that words compare without them."""
-    return MARKS[data]
+MARKS = ".,;:!?()[]{}\"'*#$%&|<>"
+BARE = ~(BLANK | table(MARKS.encode()))
 
 
-MARKS = np.arange(256, dtype=np.uint8)
-MARKS[[ord(c) for c in ".,;:!?()[]{}\"'*#$%&|<>"]] = 32
+def folded(texts: pa.Array) -> pa.Array:
+    """The texts in lower case, one blank between words: the words of ``words_of`` with the marks at their ends."""
+    return pa.array([None if t is None else " ".join(t.lower().split()) for t in texts.to_pylist()], pa.large_string())
+
+
+def texts_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word of each text, word hashes, byte positions of words) of folded texts; words are those of ``words_of``."""
+    w = split(data, edges)
+    bare = np.flatnonzero(BARE[data])
+    low, high = np.searchsorted(bare, w.start), np.searchsorted(bare, w.end)
+    keep = low < high
+    start, end = bare[low[keep]], bare[high[keep] - 1] + 1
+    return np.r_[0, np.cumsum(keep)][w.first], span_hashes(data, start, end), start
 
 
 def texts_slots(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word of each text, features, byte positions of words)."""
-    w = split(strip_marks(data), edges)
-    return w.first, slots_of(w.hashes(lower=True)), w.start
+    first, h, start = texts_hashes(data, edges)
+    return first, slots_of(h), start
+
+
+def item_hashes(words: list[str]) -> np.ndarray:
+    line = np.frombuffer(" ".join(words).encode("utf-8", "replace"), np.uint8)
+    return texts_hashes(line, np.array([0, len(line)]))[1]
 
 
 def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
@@ -115,7 +132,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
-            for _, _, data, edges in pieces(batch.column(0)):
+            for _, _, data, edges in pieces(folded(batch.column(0))):
                 first, slots, _ = texts_slots(data, edges)
                 grid, rows = halves(first, slots)
                 ordered = np.sort(grid[: rows[-1]], axis=1)
@@ -184,7 +201,7 @@ def latent_space(docs: DataFrame, texts: list[str], idf: np.ndarray, id_col: str
             total = np.zeros((FEATURES + 1, columns))
             weighted = np.vstack([basis * idf[:, None], np.zeros((1, columns))]).astype(np.float32)
             for batch in batches:
-                for _, _, data, edges in pieces(batch.column(0), 1 << 19):
+                for _, _, data, edges in pieces(folded(batch.column(0)), 1 << 19):
                     first, slots, _ = texts_slots(data, edges)
                     grid, at = halves(first, slots)
                     grid = grid[: at[-1]]
@@ -232,6 +249,93 @@ def common(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
+@dataclass(frozen=True)
+class Lookup:
+    """Which items each of their lead words stands in, and how many hits a window must have.
+
+    An accepted place matches at least ``ALIKE`` of the item's words (all, if it is short), so
+    it misses at most ``spare`` of them: of any ``spare + k`` words of the item it matches ``k``.
+    Lead words are the item's words that are not frequent, or at least its ``spare + LEADS`` rarest.
+    """
+
+    maybe: np.ndarray
+    keys: np.ndarray
+    begin: np.ndarray
+    item: np.ndarray
+    times: np.ndarray
+    length: np.ndarray
+    least: np.ndarray
+
+
+def lookup_of(items: Items, counts: np.ndarray, n: int) -> Lookup:
+    pairs, least = [], []
+    for i, words in enumerate(items.words):
+        h = item_hashes(words)
+        spare = len(words) - (int(np.ceil(ALIKE * len(words))) if len(words) >= SHORT else len(words))
+        often = counts[slots_of(h)]
+        order = np.lexsort((h, often))
+        lead = h[order[: max(spare + LEADS, int((often <= FREQUENT * n).sum()))]]
+        least.append(len(lead) - spare)
+        keys, times = np.unique(lead, return_counts=True)
+        pairs.append(np.stack([keys, np.full(len(keys), i, U64), times.astype(U64)]))
+    flat = np.concatenate(pairs, axis=1)
+    flat = flat[:, np.argsort(flat[0], kind="stable")]
+    keys, begin = np.unique(flat[0], return_index=True)
+    maybe = np.zeros(1 << 20, bool)
+    maybe[(keys >> U64(44)).astype(np.int64)] = True
+    return Lookup(maybe, keys, np.r_[begin, flat.shape[1]], flat[1].astype(np.int64), flat[2].astype(np.int64), np.array([len(w) for w in items.words]), np.array(least))
+
+
+def looked_up(h: np.ndarray, first: np.ndarray, rows: np.ndarray, find: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, row) of every half passage whose surrounding words hold enough lead words of the item."""
+    none = np.zeros(0, np.int64)
+    word = np.flatnonzero(find.maybe[(h >> U64(44)).astype(np.int64)])
+    key = np.minimum(np.searchsorted(find.keys, h[word]), len(find.keys) - 1)
+    word, key = word[find.keys[key] == h[word]], key[find.keys[key] == h[word]]
+    many = find.begin[key + 1] - find.begin[key]
+    entry = np.repeat(find.begin[key], many) + spread(many)
+    item, word = find.item[entry], np.repeat(word, many)
+    if not len(word):
+        return none, none, none
+    text = np.searchsorted(first, word, "right") - 1
+    order = np.lexsort((word, item, text))
+    word, item, text, entry = word[order], item[order], text[order], entry[order]
+    # as many hits of the same item in the same text as it needs, within the width of one window
+    last = np.arange(len(word)) + find.least[item] - 1
+    ok = last < len(word)
+    to = np.minimum(last, len(word) - 1)
+    ok &= (item[to] == item) & (text[to] == text) & (word[to] - word < PASSAGE + 2 * (HALF + find.length[item]))
+    at = np.flatnonzero(ok)
+    if not len(at):
+        return none, none, none
+    reach, d = find.length[item[at]] + HALF, text[at]
+    low = np.maximum(0, -((PASSAGE + reach - 1 - (word[to[at]] - first[d])) // HALF))
+    high = np.minimum(rows[d + 1] - rows[d] - 1, (word[at] - first[d] + reach) // HALF)
+    many = np.maximum(0, high - low + 1)
+    got = np.unique(np.stack([np.repeat(d, many), np.repeat(item[at], many), np.repeat(low + rows[d], many) + spread(many)]), axis=1)
+    d, i, r = got
+    # of these words each counts as often as the item has it
+    group = np.cumsum(np.r_[False, (item[1:] != item[:-1]) | (text[1:] != text[:-1])])
+    place, width = group * (len(h) + 1) + word, len(h) + 1
+    at = group[np.searchsorted(text * len(find.length) + item, d * len(find.length) + i)]
+    begin, reach = first[d] + (r - rows[d]) * HALF, find.length[i] + HALF
+    low = np.searchsorted(place, at * width + np.maximum(first[d], begin - reach))
+    high = np.searchsorted(place, at * width + np.minimum(first[d + 1], begin + PASSAGE + reach))
+    enough = np.zeros(len(d), bool)
+    for lo in range(0, len(d), 1 << 14):
+        many = (high - low)[lo : lo + (1 << 14)]
+        of, hit = np.repeat(np.arange(len(many)), many), entry[np.repeat(low[lo : lo + (1 << 14)], many) + spread(many)]
+        pair, times = np.unique(of * len(find.item) + hit, return_counts=True)
+        total = np.bincount(pair // len(find.item), np.minimum(times, find.times[pair % len(find.item)]), len(many))
+        enough[lo : lo + (1 << 14)] = total >= find.least[i[lo : lo + (1 << 14)]]
+    return d[enough], i[enough], r[enough]
+
+
+def spread(many: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of the given counts."""
+    return np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+
+
 @dataclass(frozen=True)
 class Index:
     items: Items
@@ -241,6 +345,7 @@ class Index:
     rare: np.ndarray
     needed: np.ndarray
     reach: int
+    lookup: Lookup
 
 
 def index(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> Index | None:
@@ -252,7 +357,7 @@ def index(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
     space = latent_space(docs, texts, idf, id_col, text_col)
     weighted = np.vstack([space * idf[:, None], np.zeros((1, RANK), np.float32)]).astype(np.float32)
     vectors, owner = [], []
-    for lo, _, data, edges in pieces(pa.array(texts, pa.large_string())):
+    for lo, _, data, edges in pieces(folded(pa.array(texts, pa.large_string()))):
         first, slots, _ = texts_slots(data, edges)
         grid, rows = halves(first, slots)
         # passages that do not overlap, and the item as a whole
@@ -268,20 +373,19 @@ def index(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
     # of an item's words that count for similarity, so many must stand around a leak whatever its common words do
     rare, needed = np.zeros((len(texts), FEATURES + 1), bool), np.zeros(len(texts), np.int64)
     for i, words in enumerate(items.words):
-        line = np.frombuffer(" ".join(words).encode(), np.uint8)
-        slots = texts_slots(line, np.array([0, len(line)]))[1]
+        slots = slots_of(item_hashes(words))
         rare[i, slots[idf[slots] > 0]] = True
         needed[i] = np.ceil(ALIKE * len(words)) - (len(words) - (idf[slots] > 0).sum())
-    return Index(items, weighted, v.T.copy(), np.concatenate(owner), rare, needed, max(len(w) for w in items.words) // HALF + 2)
+    return Index(items, weighted, v.T.copy(), np.concatenate(owner), rare, needed, max(len(w) for w in items.words) // HALF + 2, lookup_of(items, counts, n))
 
 
 def hits(texts: pa.Array, ix: Index | None) -> Iterator[tuple[int, int, float, int, int]]:
     """(row, item, cosine, words in common, first word) of every leak, the best place of each item in each text."""
     if ix is None:
         return
-    for lo, _, data, edges in pieces(texts):
-        first, slots, start = texts_slots(data, edges)
-        grid, rows = halves(first, slots)
+    for lo, _, data, edges in pieces(folded(texts)):
+        first, h, start = texts_hashes(data, edges)
+        grid, rows = halves(first, slots_of(h))
         latent = passages(grid, rows, ix.weighted)
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
         found: dict[tuple[int, int], list[tuple[int, float]]] = {}
@@ -293,14 +397,26 @@ def hits(texts: pa.Array, ix: Index | None) -> Iterator[tuple[int, int, float, i
             ok = possible(grid, rows, r, d, item, ix)
             for place in zip(d[ok].tolist(), item[ok].tolist(), r[ok].tolist(), near[ok].tolist(), strict=True):
                 found.setdefault(place[:2], []).append(place[2:])
+        d, item, r = looked_up(h, first, rows, ix.lookup)
+        near = cosines(latent, r, item, ix)
+        for place in zip(d.tolist(), item.tolist(), r.tolist(), near.tolist(), strict=True):
+            found.setdefault(place[:2], []).append(place[2:])
         for (d, item), places in sorted(found.items()):
             words, best = ix.items.words[item], (-1, 0, [])
-            for row in sorted({p for p, _ in places}):
-                # the words around the passage, wide enough for the whole item on either side
-                begin = first[d] + (row - rows[d]) * HALF
-                a, b = max(first[d], begin - len(words) - HALF), min(first[d + 1], begin + PASSAGE + len(words) + HALF)
+            reach, order = len(words) + HALF, sorted({p for p, _ in places})
+
+            def around(low: int, high: int) -> tuple[int, list[str]]:
+                # the words around the passages, wide enough for the whole item on either side
+                a, b = max(first[d], first[d] + (low - rows[d]) * HALF - reach), min(first[d + 1], first[d] + (high - rows[d]) * HALF + PASSAGE + reach)
                 end = edges[d + 1] if b == first[d + 1] else start[b]
-                near = words_of(data[start[a] : end].tobytes().decode("utf-8", "replace"))
+                return a, words_of(data[start[a] : end].tobytes().decode("utf-8", "replace"))
+
+            # windows that overlap have no more in common with the item than what they cover together
+            runs = np.split(order, 1 + np.flatnonzero(np.diff(order) * HALF > 2 * reach + PASSAGE))
+            least = len(words) if len(words) < SHORT else ALIKE * len(words)
+            order = [row for run in runs if len(run) < 2 or common(words, around(run[0], run[-1])[1]) >= least for row in run.tolist()]
+            for row in order:
+                a, near = around(row, row)
                 best = max(best, (common(words, near), -int(a - first[d]), near), key=lambda x: x[:2])
             n, at_word, near = best
             answer = words[ix.items.answer[item] :]
@@ -312,6 +428,15 @@ def hits(texts: pa.Array, ix: Index | None) -> Iterator[tuple[int, int, float, i
                 yield lo + d, item, max(c for _, c in places), n, -at_word
 
 
+def cosines(latent: np.ndarray, row: np.ndarray, item: np.ndarray, ix: Index) -> np.ndarray:
+    """The best cosine of each row with the passages of its item."""
+    out = np.zeros(len(row), np.float32)
+    for i in np.unique(item):
+        at = np.flatnonzero(item == i)
+        out[at] = (latent[row[at]] @ ix.vectors[:, ix.item_of == i]).max(1)
+    return out
+
+
 def possible(grid: np.ndarray, rows: np.ndarray, row: np.ndarray, text: np.ndarray, item: np.ndarray, ix: Index) -> np.ndarray:
     """Candidates around which enough of the item's rarer words stand; rejects none that the exact check would accept."""
     out = np.zeros(len(row), bool)

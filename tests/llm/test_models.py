@@ -259,3 +259,33 @@ def test_digests_are_the_whole_table(spark):
     for name in ("op5_quality_trees", "op7_rule_limits", "op8_curriculum", "op9_katz_backoff"):
         assert QUERIES[name](spark, folder).count() == n
     assert pa.__version__
+
+
+def test_leaks_of_short_items_inside_long_documents(spark):
+    """Every copy is found whatever the item's length, and as many altered ones as the exact check accepts anywhere."""
+    rng = np.random.default_rng(11)
+    words = np.array([f"w{i}x" for i in range(3000)])
+    p = 1 / np.arange(1, 3001)
+    draw = lambda n: list(rng.choice(words, n, p=p / p.sum()))
+    lengths = [3, 6, 8, 9, 10, 12, 14, 16, 20, 24, 32, 50]
+    items = {i: draw(lengths[i % len(lengths)]) for i in range(36)}
+    texts, altered = [], {}
+    for i, item in items.items():
+        for copy in (item, [w if rng.random() > 0.15 else "other" for w in item] if len(item) >= 8 else item):
+            text, at = draw(150), int(rng.integers(0, 150))
+            altered[len(texts)] = (i, copy)
+            texts.append(text[:at] + copy + text[at:])
+    docs = spark.createDataFrame(rows([(" ".join(t), "en", "a") for t in texts], 0), SCHEMA)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in latent_leaks.leaks(docs, bench).collect()}
+    expected = set()
+    for d, text in enumerate(texts):
+        for i, item in items.items():
+            for at in range(0, len(text), 16):
+                near = text[max(0, at - len(item) - 16) : at + 48 + len(item)]
+                same = latent_leaks.common(item, near)
+                # one sentence: the answer is the whole item
+                if f" {' '.join(item)} " in f" {' '.join(near)} " if len(item) < 8 else same >= 0.8 * len(item):
+                    expected.add((d, i))
+    assert {(d, i) for d, (i, copy) in altered.items() if copy == items[i]} <= expected
+    assert got == expected
