@@ -2,9 +2,9 @@
 
 Words are hashed features; their document frequencies are counted over all passages of all
 documents and give TF-IDF weights. A randomised singular value decomposition of TF-IDF
-passages gives latent directions: all benchmark passages and those of at most ``FIT_DOCS``
-documents (least id hash) are multiplied with random vectors and orthonormalised, twice
-over, as Spark sums of per-task products. Every passage of every whole text
+passages gives latent directions: all half passages of all documents and of the benchmark
+are multiplied with random vectors and orthonormalised, twice over, as Spark sums of
+per-task products. Every passage of every whole text
 (``PASSAGE`` words, every half passage) is projected and compared with all benchmark
 passages by cosine; those of at least ``NEAR`` are candidates. So is, whatever its cosine,
 every place around which enough of an item's rarer words stand for the check below to
@@ -31,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punctual.llm.words import BLANK, keep_batches, map_batches, pieces, span_hashes, split, table
+from punctual.llm.words import BLANK, keep_batches, map_batches, pieces, runs, span_hashes, split, table
 from punctual.session import cut_lineage
 
-FEATURES, RANK, LEAD, EXTRA, FIT_DOCS, PASSES = 1 << 14, 128, 8, 8, 300, 2
+FEATURES, RANK, LEAD, EXTRA, PASSES = 1 << 14, 128, 8, 8, 2
 PASSAGE, HALF = 32, 16
 NEAR, SAME, ALIKE, ANSWER, SHORT, COMMON, FREQUENT, LEADS = 0.6, 0.8, 0.6, 0.8, 8, 2.0, 0.01, 4
 BENCHMARK_WORDS = 1 << 22
 BLOCK = 1 << 11
+PART = 1 << 14
 U64 = np.uint64
 
 
@@ -108,8 +109,9 @@ def folded(texts: pa.Array) -> pa.Array:
 def texts_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word of each text, word hashes, byte positions of words) of folded texts; words are those of ``words_of``."""
     w = split(data, edges)
-    bare = np.flatnonzero(BARE[data])
-    low, high = np.searchsorted(bare, w.start), np.searchsorted(bare, w.end)
+    good = BARE[data]
+    bare, upto = np.flatnonzero(good), np.r_[0, np.cumsum(good)]
+    low, high = upto[w.start], upto[w.end]
     keep = low < high
     start, end = bare[low[keep]], bare[high[keep] - 1] + 1
     return np.r_[0, np.cumsum(keep)][w.first], span_hashes(data, start, end), start
@@ -126,24 +128,47 @@ def item_hashes(words: list[str]) -> np.ndarray:
     return texts_hashes(line, np.array([0, len(line)]))[1]
 
 
-def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
-    """In how many half passages of all documents each feature stands; tasks send blocks of sums."""
+def laid_out(docs: DataFrame, text_col: str) -> DataFrame:
+    """The half passages of each text as packed features, written once for all passes over them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
             for _, _, data, edges in pieces(folded(batch.column(0))):
                 first, slots, _ = texts_slots(data, edges)
                 grid, rows = halves(first, slots)
-                ordered = np.sort(grid[: rows[-1]], axis=1)
+                packed = pa.Array.from_buffers(pa.binary(), len(rows) - 1, [None, pa.py_buffer((rows * HALF * 2).astype(np.int32)), pa.py_buffer(grid[: rows[-1]].astype("<i2"))])
+                yield pa.RecordBatch.from_arrays([packed], names=["packed"])
+
+    return cut_lineage(docs.select(text_col).mapInArrow(work, "packed binary"))
+
+
+def unpacked(packed: pa.Array) -> Iterator[np.ndarray]:
+    """Half passages in bounded parts."""
+    _, offsets, data = packed.buffers()
+    if not len(packed) or data is None:
+        return
+    edges = np.frombuffer(offsets, np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    grid = np.frombuffer(data, "<i2", (edges[-1] - edges[0]) // 2, edges[0]).reshape(-1, HALF)
+    for lo in range(0, len(grid), PART):
+        yield grid[lo : lo + PART].astype(np.int64)
+
+
+def document_frequencies(packed: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many half passages of all documents each feature stands; tasks send blocks of sums."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(FEATURES, np.int64), 0
+        for batch in batches:
+            for grid in unpacked(batch.column(0)):
+                ordered = np.sort(grid, axis=1)
                 new = ordered >= 0
                 new[:, 1:] &= ordered[:, 1:] != ordered[:, :-1]
                 total += np.bincount(ordered[new], minlength=FEATURES)
-                n += int(rows[-1])
+                n += len(grid)
         blocks = total.reshape(-1, BLOCK)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks) + 1, dtype=np.int32)), pa.array([*(b.tobytes() for b in blocks), np.array([n]).tobytes()], pa.binary())], names=["block", "packed"])
 
-    rows = docs.select(text_col).mapInArrow(work, "block int, packed binary").groupBy("block").applyInArrow(lambda part: add_up(part, "<i8"), "block int, packed binary").collect()
+    rows = packed.mapInArrow(work, "block int, packed binary").groupBy("block").applyInArrow(lambda part: add_up(part, "<i8"), "block int, packed binary").collect()
     got = {r["block"]: np.frombuffer(r["packed"], "<i8") for r in rows}
     blocks = FEATURES // BLOCK
     return np.concatenate([got.get(b, np.zeros(BLOCK, np.int64)) for b in range(blocks)]), int(got.get(blocks, [0])[0])
@@ -183,44 +208,59 @@ def random_basis(columns: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(7)).standard_normal((FEATURES, columns)).astype(np.float32)
 
 
-def latent_space(docs: DataFrame, texts: list[str], idf: np.ndarray, id_col: str, text_col: str) -> np.ndarray:
+def add_products(total: np.ndarray, grid: np.ndarray, weighted: np.ndarray) -> None:
+    """Add (A^T A) basis of half passages to ``total``, before the weights of its rows."""
+    used = (weighted != 0).any(axis=1)
+    y = products(grid, weighted)
+    flat = grid.ravel()
+    at = np.flatnonzero(used[flat])
+    feature = flat[at].astype(np.uint16)
+    order = np.argsort(feature, kind="stable")
+    half, begin = at[order] // HALF, runs(feature[order])
+    if not len(begin):
+        return
+    feature, count = feature[order][begin], np.diff(np.r_[begin, len(order)])
+    # each half's product goes to all of its features: ``HALF`` equal ones are summed in one row, then what is over
+    many = count // HALF
+    full = products(half[np.repeat(begin, many * HALF) + spread(many * HALF)].reshape(-1, HALF), y)
+    if len(full):
+        some = many > 0
+        total[feature[some]] += np.add.reduceat(full, (np.cumsum(many) - many)[some], axis=0)
+    over = count - many * HALF
+    order = np.argsort(-over, kind="stable")
+    feature, over, begin = feature[order], over[order], (begin + many * HALF)[order]
+    rest = np.zeros((len(over), y.shape[1]), np.float32)
+    for j in range(HALF - 1):
+        n = int((over > j).sum())
+        rest[:n] += y[half[begin[:n] + j]]
+    total[feature] += rest
+
+
+def latent_space(packed: DataFrame, grid: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Right singular vectors without the ``LEAD`` first, which tell languages apart, scaled by inverse singular values; by power iteration on sums over tasks."""
-    spark = docs.sparkSession
-    ids = docs.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(FIT_DOCS)
-    # at most FIT_DOCS narrow rows
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "_id").orderBy(F.xxhash64("_id"), F.xxhash64("text")).limit(2 * FIT_DOCS).select("text")
-    known = spark.createDataFrame([(t,) for t in texts], "text string").unionByName(sample)
-    # a bounded number of texts: two tasks, each of which sends one dense block of sums
-    rows = cut_lineage(known.coalesce(2))
+    # each task sends one dense block of sums, so there are as many as keep the cores busy
+    rows = packed.coalesce(2 * packed.sparkSession.sparkContext.defaultParallelism)
     columns = LEAD + RANK + EXTRA
 
     def gram(basis: np.ndarray) -> np.ndarray:
         """(A^T A) basis: each task multiplies its passages and adds into features, blocks are summed over tasks."""
+        weighted = np.vstack([basis * idf[:, None], np.zeros((1, columns))]).astype(np.float32)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((FEATURES + 1, columns))
-            weighted = np.vstack([basis * idf[:, None], np.zeros((1, columns))]).astype(np.float32)
+            total = np.zeros((FEATURES, columns))
             for batch in batches:
-                for _, _, data, edges in pieces(folded(batch.column(0)), 1 << 19):
-                    first, slots, _ = texts_slots(data, edges)
-                    grid, at = halves(first, slots)
-                    grid = grid[: at[-1]]
-                    y = products(grid, weighted)
-                    # add each half's product to all of its features, ordered so that equal ones are summed together
-                    flat = grid.ravel()
-                    order = np.argsort(flat, kind="stable")
-                    order = order[flat[order] >= 0]
-                    begins = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]]) if len(order) else order
-                    if len(order):
-                        for lo in range(0, columns, 28):
-                            total[flat[order][begins], lo : lo + 28] += np.add.reduceat(y[order // HALF, lo : lo + 28], begins, axis=0)
-            blocks = (total[:-1] * idf[:, None]).reshape(-1, BLOCK * columns)
+                for part in unpacked(batch.column(0)):
+                    add_products(total, part, weighted)
+            blocks = (total * idf[:, None]).reshape(-1, BLOCK * columns)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([b.astype("<f4").tobytes() for b in blocks], pa.binary())], names=["block", "packed"])
 
         got = rows.mapInArrow(work, "block int, packed binary").groupBy("block").applyInArrow(lambda part: add_up(part, "<f4"), "block int, packed binary").collect()
-        out = np.zeros((FEATURES // BLOCK, BLOCK * columns), np.float32)
+        own = np.zeros((FEATURES, columns))
+        for lo in range(0, len(grid), PART):
+            add_products(own, grid[lo : lo + PART], weighted)
+        out = (own * idf[:, None]).astype(np.float32).reshape(FEATURES // BLOCK, BLOCK * columns)
         for r in got:
-            out[r["block"]] = np.frombuffer(r["packed"], "<f4")
+            out[r["block"]] += np.frombuffer(r["packed"], "<f4")
         return out.reshape(FEATURES, columns)
 
     q = np.linalg.qr(random_basis(columns))[0]
@@ -352,9 +392,11 @@ def index(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
     items, texts = items_of(benchmark, item_col, item_text)
     if not texts:
         return None
-    counts, n = document_frequencies(docs, text_col)
+    packed = laid_out(docs, text_col)
+    counts, n = document_frequencies(packed)
     idf = np.maximum(0, np.log((n + 1) / (counts + 1)) - COMMON).astype(np.float32)
-    space = latent_space(docs, texts, idf, id_col, text_col)
+    grids = [halves(*texts_slots(data, edges)[:2]) for _, _, data, edges in pieces(folded(pa.array(texts, pa.large_string())))]
+    space = latent_space(packed, np.concatenate([grid[: rows[-1]] for grid, rows in grids]), idf)
     weighted = np.vstack([space * idf[:, None], np.zeros((1, RANK), np.float32)]).astype(np.float32)
     vectors, owner = [], []
     for lo, _, data, edges in pieces(folded(pa.array(texts, pa.large_string()))):
@@ -412,9 +454,9 @@ def hits(texts: pa.Array, ix: Index | None) -> Iterator[tuple[int, int, float, i
                 return a, words_of(data[start[a] : end].tobytes().decode("utf-8", "replace"))
 
             # windows that overlap have no more in common with the item than what they cover together
-            runs = np.split(order, 1 + np.flatnonzero(np.diff(order) * HALF > 2 * reach + PASSAGE))
+            near_by = np.split(order, 1 + np.flatnonzero(np.diff(order) * HALF > 2 * reach + PASSAGE))
             least = len(words) if len(words) < SHORT else ALIKE * len(words)
-            order = [row for run in runs if len(run) < 2 or common(words, around(run[0], run[-1])[1]) >= least for row in run.tolist()]
+            order = [row for run in near_by if len(run) < 2 or common(words, around(run[0], run[-1])[1]) >= least for row in run.tolist()]
             for row in order:
                 a, near = around(row, row)
                 best = max(best, (common(words, near), -int(a - first[d]), near), key=lambda x: x[:2])

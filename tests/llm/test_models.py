@@ -289,3 +289,22 @@ def test_leaks_of_short_items_inside_long_documents(spark):
                     expected.add((d, i))
     assert {(d, i) for d, (i, copy) in altered.items() if copy == items[i]} <= expected
     assert got == expected
+
+
+def test_latent_space_is_fitted_on_all_documents(spark):
+    """The sums over tasks are (A^T A) basis of every half passage, and words of each document get directions."""
+    rng = np.random.default_rng(5)
+    grid = np.where(rng.random((700, 16)) < 0.1, -1, rng.integers(0, 60, (700, 16)) ** 2)
+    basis = np.vstack([latent_leaks.random_basis(5), np.zeros((1, 5), np.float32)])
+    total, dense = np.zeros((latent_leaks.FEATURES, 5)), np.zeros((700, latent_leaks.FEATURES))
+    latent_leaks.add_products(total, grid, basis)
+    np.add.at(dense, (np.repeat(np.arange(700), 16)[grid.ravel() >= 0], grid[grid >= 0]), 1)
+    assert np.allclose(total, dense.T @ (dense @ basis[:-1]), rtol=1e-4, atol=1e-2)
+    # 900 documents of nine subjects, of which each has its own words: more than the former sample of 300
+    texts = [" ".join(f"s{i // 100}n{j}" for j in rng.integers(0, 40, 32)) for i in range(900)]
+    texts += [" ".join(f"rare{i}n{j}" for j in range(16)) for i in range(40)]
+    docs = spark.createDataFrame(rows([(t, "en", "a") for t in texts], 0), SCHEMA).repartition(3)
+    bench = spark.createDataFrame([(0, "one item of the benchmark with words of its own for this test")], "item_id bigint, text string")
+    ix = latent_leaks.index(docs, bench, "doc_id", "text", "item_id", "text")
+    slots = latent_leaks.slots_of(latent_leaks.item_hashes([f"rare{i}n{j}" for i in range(40) for j in range(16)]))
+    assert (np.abs(ix.weighted[slots]).max(axis=1) > 1e-6).all()
