@@ -2,7 +2,7 @@
 
 ``PUBLISHED`` holds the values for the full national data set; ``FIXTURE``
 holds the same parameters scaled to the generated test tables, whose calendar
-runs 1995-2001 and whose volumes are smaller.
+runs 1995-2001 and whose volumes are smaller; model sizes are the published ones.
 """
 
 from __future__ import annotations
@@ -106,9 +106,4 @@ FIXTURE = replace(
     final_start="2001-01-01",
     final_end="2001-03-31",
     model_percent=100,
-    logistic_iterations=50,
-    forest_trees=16,
-    forest_depth=6,
-    boost_rounds=12,
-    stump_rounds=6,
 )

@@ -12,7 +12,7 @@ from punctual.plans.delay_models import evaluation as V
 from punctual.plans.delay_models import explanation as E
 from punctual.plans.delay_models import features as M
 from punctual.plans.delay_models import models as C
-from punctual.settings import FIXTURE
+from punctual.settings import FIXTURE, PUBLISHED
 
 
 def test_area_with_ties(spark):
@@ -76,3 +76,9 @@ def test_samples_do_not_depend_on_partitions(tables):
     again = S.fraction(rows.repartition(7), 10, 42)
     assert once.exceptAll(again).isEmpty() and again.exceptAll(once).isEmpty()
     assert 0.05 < once.count() / rows.count() < 0.15
+
+
+def test_registered_models_have_the_published_sizes(tables):
+    sizes = [k for k in vars(PUBLISHED) if k.startswith(("logistic_", "forest_", "boost_", "stump_"))]
+    assert len(sizes) == 10
+    assert {k: getattr(tables.s, k) for k in sizes} == {k: getattr(PUBLISHED, k) for k in sizes}
