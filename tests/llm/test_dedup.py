@@ -81,3 +81,10 @@ def test_removed_words_of_documents(documents, spark, monkeypatch):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in repeated_windows.remove(documents).collect()}
     assert got == {i: (n, k, t) for i, n, k, t in removed([(r["doc_id"], r["text"]) for r in documents.collect()])}
     assert sum(k for _, k, _ in got.values())
+
+
+def test_repeated_rows_of_a_kept_id_leave_one(spark):
+    text = "the very same text appended once more under its own id"
+    docs = spark.createDataFrame([(5, text), (5, text), (5, text), (9, text), (6, " "), (6, " "), (None, text), (None, text), (7, None), (7, None)], "doc_id bigint, text string")
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in jaccard_partenum.keep_one(docs).collect())
+    assert got == sorted([("5", text), ("6", " "), ("6", " "), ("None", text), ("None", text), ("7", "None"), ("7", "None")])
