@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctual.llm import curriculum, jaccard_partenum, katz_backoff, language_crf, latent_leaks, pii_votes, quality_trees, repeated_windows, rule_limits, secret_automata
+from punctual.llm import angular_negatives, curriculum, jaccard_partenum, katz_backoff, language_crf, latent_leaks, length_packing, pii_votes, quality_trees, repeated_windows, rule_limits, secret_automata, setm_phrases
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,6 +64,18 @@ def op10_pii_votes(spark: SparkSession, folder: str) -> DataFrame:
     return pii_votes.digest(pii_votes.scan(documents(spark, folder)))
 
 
+def op11_length_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return length_packing.pack(documents(spark, folder), with_ids=False)
+
+
+def op12_angular_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return angular_negatives.mine(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def op13_setm_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return setm_phrases.collocations(documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_partenum": op1_jaccard_partenum,
     "op2_repeated_windows": op2_repeated_windows,
@@ -75,4 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_curriculum": op8_curriculum,
     "op9_katz_backoff": op9_katz_backoff,
     "op10_pii_votes": op10_pii_votes,
+    "op11_length_packing": op11_length_packing,
+    "op12_angular_negatives": op12_angular_negatives,
+    "op13_setm_phrases": op13_setm_phrases,
 }

@@ -85,4 +85,50 @@ k AS (SELECT *, (rounds * size + greatest(0, least(size, floor(target)::BIGINT -
 SELECT doc_id, size, source_size, target, taken, {_position(0)} AS position, {_position(1)} AS position_2 FROM k
 """
 
-SQL: dict[str, str] = {"op1_jaccard_partenum": JACCARD, "op2_repeated_windows": WINDOWS, "op8_curriculum": MIX}
+NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = v.label AS same, v.vec_id, list_dot_product(a.v, v.v)::BIGINT AS score
+  FROM v a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 50 = 0
+),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER q)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW q AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER q <= 3
+"""
+
+PHRASES = rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM t),
+i AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+g AS (SELECT lang, i, words, unnest(range(1, least(5, len(words) - i + 1) + 1)) AS k FROM i),
+f AS (SELECT lang, words[i:i + k - 1] AS p, k, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+o AS (
+  SELECT lang, p[i:j] AS p, max(a) AS over FROM (SELECT lang, p, a, k, i, unnest(range(i + 1, k + 1)) AS j FROM (SELECT *, unnest(range(1, k)) AS i FROM f)) WHERE j - i + 1 < k GROUP BY ALL
+),
+c AS (SELECT f.* FROM f LEFT JOIN o ON o.lang = f.lang AND o.p = f.p WHERE f.k > 1 AND (over IS NULL OR 100 * over < 100 * f.a)),
+u AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+s AS (
+  SELECT u.lang, array_to_string(u.p, ' ') AS phrase, u.a, x.a AS l, y.a AS r, n.n, ((1000::HUGEINT * u.a * n.n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM u JOIN f x ON x.lang = u.lang AND x.p = u.p[1:u.cut] JOIN f y ON y.lang = u.lang AND y.p = u.p[u.cut + 1:] JOIN n ON n.lang = u.lang
+  QUALIFY row_number() OVER (PARTITION BY u.lang, u.p ORDER BY (1000::HUGEINT * u.a * n.n) // (x.a::HUGEINT * y.a), u.cut) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM s
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+SQL: dict[str, str] = {
+    "op1_jaccard_partenum": JACCARD,
+    "op2_repeated_windows": WINDOWS,
+    "op8_curriculum": MIX,
+    "op12_angular_negatives": NEGATIVES,
+    "op13_setm_phrases": PHRASES,
+}
