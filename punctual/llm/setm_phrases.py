@@ -39,7 +39,7 @@ from punctual.llm.words import LOWER, pieces, span_hashes, split, table
 from punctual.session import run_folder
 
 LONGEST, FREQUENT, ABSORBED, TOP = 5, 100, 100, 2000
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 6 << 20
 #: What ends a piece, and what parts words within one.
 STOPS, SPACES = table(b".,;:!?\x0a\x0b\x0c\x0d"), table(b"\x20\x09")
 #: A group's name is its chunk and its number there; a chunk's is its task and its number there.
