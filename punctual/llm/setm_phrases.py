@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from punctual.llm.packing import planes, unplanes
@@ -50,11 +50,24 @@ WORDS = "chunk bigint, lang string, at binary, of binary, words array<binary>, c
 PHRASES = "chunk bigint, lang string, at binary, of binary, heads array<bigint>, tails array<bigint>, counts array<bigint>"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """A relation as a table in the shared folder."""
-    path = run_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+class Store:
+    """Relations as tables in the shared folder; those that no later step reads are removed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, str] = {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = run_folder(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = path
+        return table
+
+    def remove(self, *tables: DataFrame) -> None:
+        for table in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table)))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def places(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,12 +174,14 @@ def frequent(relation: DataFrame, keys: dict[str, str], least: int) -> DataFrame
     ``name`` is the group's own in that chunk; ``gid``, the least name of all chunks, is the same everywhere.
     """
     cells = F.posexplode(F.arrays_zip(*keys, "counts"))
-    rows = relation.select("chunk", "lang", cells.alias("_nr", "_cell")).select(
-        "lang", (F.shiftleft("chunk", NUMBER_BITS) + F.col("_nr")).alias("name"), *[F.col("_cell")[many].alias(one) for many, one in keys.items()], F.col("_cell")["counts"].alias("_n")
+    # the parts of a phrase are of one language already
+    lang = ["lang"] if "words" in keys else []
+    rows = relation.select("chunk", *lang, cells.alias("_nr", "_cell")).select(
+        *lang, (F.shiftleft("chunk", NUMBER_BITS) + F.col("_nr")).alias("name"), *[F.col("_cell")[many].alias(one) for many, one in keys.items()], F.col("_cell")["counts"].alias("_n")
     )
-    group = Window.partitionBy("lang", *keys.values()) if "words" in keys else Window.partitionBy(*keys.values())
+    group = Window.partitionBy(*lang, *keys.values())
     counted = rows.withColumns({"a": F.sum("_n").over(group), "gid": F.min("name").over(group)}).where(F.col("a") >= least)
-    return counted.select("lang", "name", "gid", "a", *keys.values())
+    return counted.select(*lang, "name", "gid", "a", *keys.values())
 
 
 def extended(relation: DataFrame, known: DataFrame) -> DataFrame:
@@ -202,7 +217,7 @@ def extended(relation: DataFrame, known: DataFrame) -> DataFrame:
 
 def spelled(groups: DataFrame, shorter: DataFrame) -> DataFrame:
     """(gid, lang, a, words, lefts, rights): counts of the first 1, 2, ... and of the last ..., 2, 1 words, from both parts."""
-    head = shorter.select(F.col("gid").alias("head"), F.col("words").alias("_h"), F.concat("lefts", F.array("a")).alias("lefts"))
+    head = shorter.select(F.col("gid").alias("head"), "lang", F.col("words").alias("_h"), F.concat("lefts", F.array("a")).alias("lefts"))
     tail = shorter.select(F.col("gid").alias("tail"), F.col("words").alias("_t"), F.concat(F.array("a"), "rights").alias("rights"))
     both = groups.join(head, "head").join(tail, "tail")
     return both.select("gid", "lang", "a", "head", "tail", F.concat("_h", F.slice("_t", -1, 1)).alias("words"), "lefts", "rights")
@@ -212,17 +227,22 @@ def collocations(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = FREQUENT, longest: int = LONGEST, absorbed: int = ABSORBED, top: int = TOP
 ) -> DataFrame:
     """Each language's first ``top`` phrases: lang, rank, phrase, a, l, r, n, score."""
-    relation = stored(word_relations(docs, text_col, lang_col), "setm-words")
-    totals = relation.select("lang", F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, c: s + c).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    known = stored(frequent(relation, {"words": "word"}, least), "setm-frequent")
+    store = Store(docs.sparkSession)
+    relation = store.keep(word_relations(docs, text_col, lang_col), "setm-words")
+    sums = relation.select("lang", F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, c: s + c).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = store.keep(sums, "setm-totals")
+    known = store.keep(frequent(relation, {"words": "word"}, least), "setm-frequent")
     none = F.array().cast("array<bigint>")
-    shorter = known.where("name = gid").select("gid", "lang", "a", F.array(F.col("word").cast("string")).alias("words"), none.alias("lefts"), none.alias("rights"))
-    levels = []
+    first = known.where("name = gid").select("gid", "lang", "a", F.array(F.col("word").cast("string")).alias("words"), none.alias("lefts"), none.alias("rights"))
+    levels = [store.keep(first, "setm-phrases")]
     for _ in range(longest - 1):
-        relation = stored(extended(relation, known), "setm-pairs")
-        known = stored(frequent(relation, {"heads": "head", "tails": "tail"}, least), "setm-frequent")
-        shorter = stored(spelled(known.where("name = gid").select("gid", "lang", "a", "head", "tail"), shorter), "setm-phrases")
-        levels.append(shorter)
+        longer = store.keep(extended(relation, known), "setm-pairs")
+        store.remove(relation, known)
+        relation = longer
+        known = store.keep(frequent(relation, {"heads": "head", "tails": "tail"}, least), "setm-frequent")
+        levels.append(store.keep(spelled(known.where("name = gid").select("gid", "a", "head", "tail"), levels[-1]), "setm-phrases"))
+    store.remove(relation, known)
+    levels = levels[1:]
     kept = []
     for phrases, longer in zip(levels, [*levels[1:], None], strict=True):
         if longer is not None:
