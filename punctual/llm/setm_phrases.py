@@ -39,7 +39,8 @@ from punctual.llm.words import LOWER, pieces, span_hashes, split, table
 from punctual.session import run_folder
 
 LONGEST, FREQUENT, ABSORBED, TOP = 5, 100, 100, 2000
-CHUNK_BYTES = 6 << 20
+#: Bytes of text of a chunk, and rows looked at together before.
+CHUNK_BYTES, ROWS = 4 << 20, 256
 #: What ends a piece, and what parts words within one.
 STOPS, SPACES = table(b".,;:!?\x0a\x0b\x0c\x0d"), table(b"\x20\x09")
 #: A group's name is its chunk and its number there; a chunk's is its task and its number there.
@@ -139,16 +140,18 @@ def word_relations(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                     number += 1
             open_chunks.clear()
             size = 0
-
-        for batch in batches:
-            langs = np.array([x if x is not None else "und" for x in batch.column(1).to_pylist()], object)
-            for lang in dict.fromkeys(langs.tolist()):
-                for _, _, data, edges in pieces(batch.column(0).filter(pa.array(langs == lang))):
-                    for part, bounds in cut_long(LOWER[data], edges):
-                        open_chunks[lang].add(part, bounds)
-                        size += len(part)
-                        if size >= CHUNK_BYTES:
-                            yield from close()
+            pa.default_memory_pool().release_unused()
+
+        for whole in batches:
+            for batch in (whole.slice(lo, ROWS) for lo in range(0, whole.num_rows, ROWS)):
+                langs = np.array([x if x is not None else "und" for x in batch.column(1).to_pylist()], object)
+                for lang in dict.fromkeys(langs.tolist()):
+                    for _, _, data, edges in pieces(batch.column(0).filter(pa.array(langs == lang))):
+                        for part, bounds in cut_long(LOWER[data], edges):
+                            open_chunks[lang].add(part, bounds)
+                            size += len(part)
+                            if size >= CHUNK_BYTES:
+                                yield from close()
         yield from close()
 
     return docs.select(F.col(f"`{text_col}`").cast("string"), F.col(f"`{lang_col}`").cast("string")).mapInArrow(work, WORDS)
