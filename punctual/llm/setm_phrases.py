@@ -39,8 +39,8 @@ from punctual.llm.words import LOWER, pieces, span_hashes, split, table
 from punctual.session import run_folder
 
 LONGEST, FREQUENT, ABSORBED, TOP = 5, 100, 100, 2000
-#: Bytes of text of a chunk, and rows looked at together before.
-CHUNK_BYTES, ROWS = 4 << 20, 256
+#: Bytes of text of a chunk, of all chunks that a task has open, and rows that it looks at together.
+CHUNK_BYTES, OPEN_BYTES, ROWS = 6 << 20, 24 << 20, 256
 #: What ends a piece, and what parts words within one.
 STOPS, SPACES = table(b".,;:!?\x0a\x0b\x0c\x0d"), table(b"\x20\x09")
 #: A group's name is its chunk and its number there; a chunk's is its task and its number there.
@@ -85,11 +85,12 @@ class Collected:
     """Words of one language until they are a chunk."""
 
     def __init__(self):
-        self.hashes, self.at, self.end = [], [], 0
+        self.hashes, self.at, self.end, self.size = [], [], 0, 0
         self.texts: dict[int, bytes] = {}
 
     def add(self, data: np.ndarray, edges: np.ndarray) -> None:
         start, end, at = places(data, edges)
+        self.size += len(data)
         if not len(at):
             return
         h = span_hashes(data, start, end)
@@ -127,20 +128,18 @@ def word_relations(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """R1: chunks of each task's texts by language."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number, size = TaskContext.get().partitionId(), 0, 0
+        task, number = TaskContext.get().partitionId(), 0
         open_chunks: dict[str, Collected] = defaultdict(Collected)
 
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal number, size
-            for lang, words in open_chunks.items():
-                if words.hashes:
-                    if number >> CHUNK_BITS:
-                        raise ValueError("a task has too many chunks: read the table in more partitions")
-                    yield words.relation(task << CHUNK_BITS | number, lang)
-                    number += 1
-            open_chunks.clear()
-            size = 0
-            pa.default_memory_pool().release_unused()
+        def close(lang: str) -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            words = open_chunks.pop(lang)
+            if words.hashes:
+                if number >> CHUNK_BITS:
+                    raise ValueError("a task has too many chunks: read the table in more partitions")
+                yield words.relation(task << CHUNK_BITS | number, lang)
+                number += 1
+                pa.default_memory_pool().release_unused()
 
         for whole in batches:
             for batch in (whole.slice(lo, ROWS) for lo in range(0, whole.num_rows, ROWS)):
@@ -149,10 +148,13 @@ def word_relations(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                     for _, _, data, edges in pieces(batch.column(0).filter(pa.array(langs == lang))):
                         for part, bounds in cut_long(LOWER[data], edges):
                             open_chunks[lang].add(part, bounds)
-                            size += len(part)
-                            if size >= CHUNK_BYTES:
-                                yield from close()
-        yield from close()
+                            if open_chunks[lang].size >= CHUNK_BYTES:
+                                yield from close(lang)
+                # a table of very many languages closes its largest chunks early
+                while sum(c.size for c in open_chunks.values()) > OPEN_BYTES:
+                    yield from close(max(open_chunks, key=lambda x: open_chunks[x].size))
+        for lang in list(open_chunks):
+            yield from close(lang)
 
     return docs.select(F.col(f"`{text_col}`").cast("string"), F.col(f"`{lang_col}`").cast("string")).mapInArrow(work, WORDS)
 
