@@ -58,9 +58,11 @@ SPLIT = """CASE WHEN fl_date <= DATE '1999-12-31' THEN 'train' WHEN fl_date BETW
 SOURCES = {
     "scan_csv_monthly": sc("year || '-' || lpad(CAST(month AS VARCHAR), 2, '0') AS file_month"),
     "scan_file_manifest": scheduled_sql(
-        """SELECT CAST(year(m) AS INTEGER) AS year, CAST(month(m) AS INTEGER) AS month
-        FROM generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH) s(m)
-        WHERE (year(m), month(m)) NOT IN (SELECT (year, month) FROM scheduled)"""
+        """SELECT coalesce(strftime(m, '%Y-%m'), f) AS file_month, CASE WHEN f IS NULL THEN 0 WHEN f LIKE '1996%' THEN 2 ELSE 1 END::BIGINT AS n_places,
+          CASE WHEN m IS NULL THEN 'unexpected' WHEN f IS NULL THEN 'missing' WHEN f LIKE '1996%' THEN 'doubled' WHEN f = '1999-06' THEN 'empty' ELSE 'present' END AS status
+        FROM generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH) s(m) FULL JOIN (
+          SELECT DISTINCT year || '-' || lpad(CAST(month AS VARCHAR), 2, '0') AS f FROM scheduled WHERE year <> 1997 UNION SELECT '1999-06'
+        ) ON f = strftime(m, '%Y-%m')"""
     ),
     "scan_csv_full": CSV_TOTALS,
     "scan_columns": op("year, month, is_delayed"),
@@ -306,7 +308,11 @@ ORDERING = {
     "win_rank": operated_sql(
         "SELECT *, CAST(row_number() OVER (ORDER BY delay_rate_pct DESC, airline_name) AS INTEGER) AS rate_rank FROM r", f"r AS ({R.AIRLINE})"
     ),
-    "set_concat_files": sc("year, month"),
+    "set_concat_files": scheduled_sql(
+        """SELECT year || '-' || lpad(CAST(month AS VARCHAR), 2, '0') AS file_month, op_unique_carrier, count(*) AS n_flights, count(fl_date) AS n_dates,
+          CASE WHEN month = 2 THEN count(tail_num) ELSE 0 END AS n_tails, CASE WHEN month = 3 THEN count(*) ELSE 0 END AS n_origins, sum(dep_delay) AS sum_dep_delay
+        FROM scheduled WHERE year = 1996 AND month IN (2, 3) GROUP BY year, month, op_unique_carrier"""
+    ),
     "set_distinct_rows": scheduled_sql(tally("year, tail_num IS NULL AS no_tail", "one"), COPIES),
     "spl_time": op(f"{SPLIT}, is_delayed"),
     "r_hour_rate_clipped": R.arr(R.hist("dep_hour")),

@@ -17,12 +17,13 @@ from punctual.operators import lookups as J
 from punctual.operators import quality as Q
 from punctual.operators import sampling as S
 from punctual.operators import sinks as K
+from punctual.operators.copies import distinct_rows
 from punctual.plans import dashboards as D
 from punctual.plans import explore as E
 from punctual.plans import history as H
 from punctual.plans import reports as R
 from punctual.session import run_folder
-from punctual.sources import carriers, monthly_files
+from punctual.sources import carriers, month_layouts, monthly_files
 from punctual.sources.schema import CAUSES, FLIGHT_COLUMNS, TEXT_FILLS, ZERO_FLAGS
 
 
@@ -51,11 +52,50 @@ def loud_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[f" {c.upper().replace('_', '-')} " for c in df.columns])
 
 
-def month_files(t) -> DataFrame:
+#: The test tables have no departure time.
+MONTH_COLUMNS = [c for c in FLIGHT_COLUMNS if c != "dep_time"]
+
+
+def month_folder(t) -> str:
+    """Month files in three layouts: as written, reordered with a column more, and with another name of the date."""
     folder = run_folder(t.spark, "months")
-    monthly_files.write_months(t.scheduled(places=True).drop("airline_name"), folder)
-    columns = [c for c in FLIGHT_COLUMNS if c != "dep_time"]
-    return monthly_files.read_months(t.spark, folder, columns)
+    flights = t.scheduled(places=True).drop("airline_name")
+    monthly_files.write_months(flights.where("year < 1997"), f"{folder}/plain")
+    turned = flights.where("year BETWEEN 1997 AND 1998").withColumn("extra", F.lit("x"))
+    monthly_files.write_months(turned.select(*reversed(turned.columns)), f"{folder}/turned")
+    named = flights.where("year > 1998").withColumnRenamed("fl_date", "FlightDate")
+    monthly_files.write_months(named, f"{folder}/named", upper=False)
+    return folder
+
+
+def month_files(t) -> DataFrame:
+    return monthly_files.read_months(t.spark, month_folder(t), MONTH_COLUMNS)
+
+
+def file_manifest(t) -> DataFrame:
+    """Written files against the expected months: 1996 stands twice, 1997 is missing, 1999-06 is empty."""
+    folder = run_folder(t.spark, "manifest")
+    narrow = t.scheduled().select("year", "month", "fl_date", "op_unique_carrier")
+    monthly_files.write_months(narrow.where("year <> 1997 AND NOT (year = 1999 AND month = 6)"), f"{folder}/all")
+    monthly_files.write_months(narrow.where("year = 1996"), f"{folder}/again")
+    t.spark.range(0).selectExpr("'' AS value").coalesce(1).write.text(f"{folder}/file_month=1999-06")
+    months = month_layouts.expected_months(t.s.expected_first_month, t.s.expected_last_month, t.s.skipped_years)
+    return month_layouts.manifest(t.spark, folder, months, suffix="").select("file_month", "n_places", "status")
+
+
+def joined_months(t) -> DataFrame:
+    """Two months in files with different columns, put together by name, with the month each row's file is of."""
+    folder = run_folder(t.spark, "two")
+    flights = t.scheduled(places=True)
+    first = flights.where("year = 1996 AND month = 2").select("year", "month", "fl_date", "op_unique_carrier", "tail_num", "dep_delay")
+    second = flights.where("year = 1996 AND month = 3").select("origin", "dep_delay", F.col("fl_date").alias("FlightDate"), "month", "year", "op_unique_carrier")
+    monthly_files.write_months(first, f"{folder}/first")
+    monthly_files.write_months(second, f"{folder}/second", upper=False)
+    rows = monthly_files.read_months(t.spark, folder, MONTH_COLUMNS, ("fl_date", "op_unique_carrier", "dep_delay"))
+    return rows.groupBy(monthly_files.file_month().alias("file_month"), "op_unique_carrier").agg(
+        F.count(F.lit(1)).alias("n_flights"), F.count("fl_date").alias("n_dates"), F.count("tail_num").alias("n_tails"),
+        F.count("origin").alias("n_origins"), F.sum(C.as_number("dep_delay")).alias("sum_dep_delay"),
+    )
 
 
 def csv_round_trip(t) -> DataFrame:
@@ -101,7 +141,7 @@ def stored_table(t) -> DataFrame:
 
 SOURCES = {
     "scan_csv_monthly": lambda t: tally(month_files(t), monthly_files.file_month().alias("file_month")),
-    "scan_file_manifest": lambda t: monthly_files.missing_months(t.scheduled(), t.s),
+    "scan_file_manifest": file_manifest,
     "scan_csv_full": lambda t: csv_totals(csv_round_trip(t)),
     "scan_columns": lambda t: tally(t.operated().select("year", "month", "is_delayed"), "year", "month", "is_delayed"),
     "scan_dates": lambda t: t.operated().select("fl_date").agg(
@@ -134,7 +174,7 @@ QUALITY = {
         C.keep_columns(t.operated(places=True)), "year", "op_unique_carrier", "origin", "cancellation_code"
     ),
     "dq_snake_case": lambda t: Q.value_counts_by_column(C.snake_case(loud_names(t.scheduled(places=True)))),
-    "dq_date_column_probe": lambda t: Q.date_column_found(t.scheduled()),
+    "dq_date_column_probe": lambda t: Q.date_column_found(month_files(t)),
     "dq_row_conservation": lambda t: Q.row_conservation(
         month_files(t).withColumn("file_month", monthly_files.file_month()), t.scheduled(), "file_month"
     ),
@@ -317,10 +357,8 @@ ORDERING = {
     "topk_per_group": lambda t: airline_cause_rank(t.complete()),
     "win_total_share": lambda t: R.cause_share(t.complete()),
     "win_rank": lambda t: D.ranked(R.airline_rate(t.complete(), t.s), "delay_rate_pct", "airline_name", "rate_rank"),
-    "set_concat_files": lambda t: tally(
-        t.scheduled(end="1996-12-31").unionByName(t.scheduled(start="1997-01-01")), "year", "month"
-    ),
-    "set_distinct_rows": lambda t: tally(with_copies(t).dropDuplicates(), "year", F.isnull("tail_num").alias("no_tail")),
+    "set_concat_files": joined_months,
+    "set_distinct_rows": lambda t: tally(distinct_rows(with_copies(t)), "year", F.isnull("tail_num").alias("no_tail")),
     "smp_fraction": lambda t: sample_sizes(t.operated(), S.fraction(t.operated(), t.s.sample_percent, t.s.sample_seed)),
     "smp_stratified_chunks": lambda t: sample_sizes(
         t.operated(), S.stratified(t.operated(), "year", t.s.sample_percent, t.s.sample_seed)

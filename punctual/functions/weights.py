@@ -44,5 +44,5 @@ def mean2_of(df: DataFrame, value: Column | str, where: Column | str | None = No
     return F.round(mean_of(df, value, where), 2)
 
 
-def percentile2_of(df: DataFrame, value: str, share: float) -> Column:
+def percentile2_of(df: DataFrame, value: Column | str, share: float) -> Column:
     return F.round(F.percentile(value, F.lit(share), weight(df)), 2)

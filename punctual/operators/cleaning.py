@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from punctual.functions import features as X
+from punctual.operators.copies import distinct_rows
+from punctual.sources.carriers import with_airline
 from punctual.sources.schema import (
     DATE_ALIASES,
     FLIGHT_COLUMNS,
@@ -116,13 +118,16 @@ def add_features(df: DataFrame, label: str = "dep", threshold: int = 15) -> Data
     return df.withColumns(derived).withColumn("is_peak_hour", X.is_peak_hour())
 
 
-def clean(raw: DataFrame, label: str = "dep") -> DataFrame:
-    """Raw text rows to the cleaned table.
+def clean_scheduled(raw: DataFrame, label: str = "dep") -> DataFrame:
+    """Raw text rows to all scheduled flights, cancelled and diverted ones included: cleaned, with airline and derived columns.
 
-    Exact copies are removed on the raw text, before any cast. The aggregate
-    collapses copies inside each input task, so a heavily repeated row does not
-    travel as many rows.
+    Exact copies are removed on the raw text, before any cast.
     """
-    texts = keep_columns(require_columns(snake_case(raw))).dropDuplicates()
-    typed = only_operated(fill_flags(cast_columns(texts)))
-    return add_features(drop_undated(fill_missing(typed)), label=label)
+    texts = distinct_rows(keep_columns(require_columns(snake_case(raw))))
+    typed = fill_missing(drop_undated(cast_columns(texts)))
+    return with_airline(add_features(typed, label=label))
+
+
+def clean(raw: DataFrame, label: str = "dep") -> DataFrame:
+    """Raw text rows to the cleaned table of the flights that ran as planned."""
+    return only_operated(clean_scheduled(raw, label))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from punctual.functions import features as X
 from punctual.functions.weights import count_of
+from punctual.operators.copies import copy_counts, distinct_rows
 from punctual.operators.cleaning import date_column, missing_columns, snake_case
 from punctual.plans import reports as R
 from punctual.plans.explore import extreme_flights, long_values
@@ -63,11 +63,8 @@ def missing_counts(df: DataFrame, top: int | None = 10) -> DataFrame:
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows that repeat an earlier row. Copies collapse before the shuffle."""
-    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("copies"))
-    return copies.agg(
-        F.sum(F.col("copies") - 1).alias("duplicate_rows"), F.count(F.lit(1)).alias("distinct_rows")
-    )
+    """Rows that repeat an earlier row, found by their hashes first."""
+    return copy_counts(df)
 
 
 def fences(rows: DataFrame, width: float) -> DataFrame:
@@ -131,11 +128,11 @@ def missing_arrival(flights: DataFrame, s: Settings) -> DataFrame:
 
 def clean_summary(raw: DataFrame, label: Column) -> DataFrame:
     """Input, duplicate, removed and final rows and the delay rate of one cleaning run."""
-    copies = raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("copies"))
+    total = raw.select(F.count(F.lit(1))).scalar()
     ran = (F.coalesce("cancelled", F.lit(0)) == 0) & (F.coalesce("diverted", F.lit(0)) == 0)
-    counts = copies.agg(
-        F.sum("copies").alias("input_rows"),
-        F.sum(F.col("copies") - 1).alias("duplicate_rows"),
+    counts = distinct_rows(raw).agg(
+        total.alias("input_rows"),
+        (total - F.count(F.lit(1))).alias("duplicate_rows"),
         F.count_if(~ran).alias("removed_rows"),
         F.count_if(ran).alias("final_rows"),
         F.count_if(ran & label).alias("late_rows"),
@@ -178,22 +175,14 @@ def min_history(daily: DataFrame, s: Settings) -> DataFrame:
 
 def export_identities(flights: DataFrame) -> DataFrame:
     """Every calendar, distance and cause report must add up to the same totals."""
-    parts = [
-        R.rate_by(flights, key).agg(
-            F.lit(key).alias("report"),
-            F.sum("total_operated_flights").alias("total_flights"),
-            F.sum("delayed_flights").alias("total_delayed"),
-        )
-        for key in R.CALENDAR
-    ]
-    parts.append(
-        R.distance_rate(flights).agg(
-            F.lit("distance_group").alias("report"),
-            F.sum("total_operated_flights").alias("total_flights"),
-            F.sum("delayed_flights").alias("total_delayed"),
-        )
+    # one pass counts the values of each key by themselves; their sums are the reports' totals
+    keys = (*R.CALENDAR, "distance_group")
+    rows = flights.withColumn("distance_group", X.distance_group())
+    counts = rows.groupingSets([[k] for k in keys], *keys).agg(
+        count_of(rows).alias("_n"), count_of(rows, F.col("is_delayed") == 1).alias("_late"), F.grouping_id().alias("_set")
     )
-    together = reduce(DataFrame.unionByName, parts)
+    report = F.create_map(*[F.lit(x) for k in keys for x in (R.set_id(keys, k), k)])[F.col("_set")]
+    together = counts.groupBy(report.alias("report")).agg(F.sum("_n").alias("total_flights"), F.sum("_late").alias("total_delayed"))
     everything = Window.partitionBy()
     agree = (F.min("total_flights").over(everything) == F.max("total_flights").over(everything)) & (
         F.min("total_delayed").over(everything) == F.max("total_delayed").over(everything)

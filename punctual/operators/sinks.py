@@ -16,33 +16,31 @@ from punctual.settings import Settings
 CALENDAR_KEYS = (
     "year", "quarter", "month", "day_of_week", "dep_hour", "is_peak_hour", "is_weekend", "airline_name", "is_delayed",
 )
-PLACE_KEYS = (
-    "airline_name", "origin", "origin_city_name", "dest_city_name", "route", "distance", "is_delayed", "dep_delay",
-)
-SEVERITY_KEYS = ("airline_name", "distance", "main_delay_cause", "is_delayed", "dep_delay", "arr_delay")
+AIRPORT_KEYS = ("origin", "origin_city_name", "is_delayed", "dep_delay")
+ROUTE_KEYS = ("origin_city_name", "dest_city_name", "route", "is_delayed")
 
 # fixed values: exported report files
 EXPORTS: dict[str, tuple[str, Callable]] = {
     "03_01_airline_delay_rate": ("calendar", R.airline_rate),
     "04_02_airline_delay_volume": ("calendar", R.airline_volume),
-    "05_03_airline_departure_delay_severity_among_delayed_flights": ("severity", R.airline_departure_severity),
-    "06_04_airline_arrival_delay_severity_among_delayed_flights": ("severity", R.airline_arrival_severity),
+    "05_03_airline_departure_delay_severity_among_delayed_flights": ("departures", R.airline_departure_severity),
+    "06_04_airline_arrival_delay_severity_among_delayed_flights": ("arrivals", R.airline_arrival_severity),
     "07_05_cancellation_and_diversion_rates_by_airline": ("scheduled", lambda d, s: R.airline_disruptions(d)),
-    "08_06_delay_rate_by_origin_airport": ("places", R.airport_rate),
-    "09_08_delay_rate_by_route": ("places", R.route_rate),
+    "08_06_delay_rate_by_origin_airport": ("airports", R.airport_rate),
+    "09_08_delay_rate_by_route": ("routes", R.route_rate),
     "10_10_delay_rate_by_month": ("calendar", lambda d, s: R.calendar_rate(d, "month")),
     "11_11_delay_rate_by_quarter": ("calendar", lambda d, s: R.calendar_rate(d, "quarter")),
     "12_12_delay_rate_by_day_of_week": ("calendar", lambda d, s: R.calendar_rate(d, "day_of_week")),
     "13_13_delay_rate_by_scheduled_departure_hour": ("calendar", lambda d, s: R.calendar_rate(d, "dep_hour")),
     "14_14_peak_vs_off_peak_delay_rate": ("calendar", lambda d, s: R.calendar_rate(d, "is_peak_hour")),
     "15_15_weekday_vs_weekend_delay_rate": ("calendar", lambda d, s: R.calendar_rate(d, "is_weekend")),
-    "16_16_most_common_delay_causes_among_delayed_operated_flights": ("severity", lambda d, s: R.cause_share(d)),
-    "17_17_delay_severity_by_distance_group_among_delayed_operated_flights": ("severity", lambda d, s: R.distance_severity(d)),
-    "18_18_delay_rate_by_distance_group": ("places", lambda d, s: R.distance_rate(d)),
+    "16_16_most_common_delay_causes_among_delayed_operated_flights": ("causes", lambda d, s: R.cause_share(d)),
+    "17_17_delay_severity_by_distance_group_among_delayed_operated_flights": ("flights", lambda d, s: R.distance_severity(d)),
+    "18_18_delay_rate_by_distance_group": ("flights", lambda d, s: R.distance_rate(d)),
     "19_19_overall_delay_rate_by_year": ("calendar", lambda d, s: R.calendar_rate(d, "year")),
     "20_21_delay_rate_by_airline_and_year": ("calendar", R.airline_year_rate),
     "21_23_flight_volume_by_year": ("scheduled_complete", lambda d, s: R.volume_by_year(d)),
-    "22_24_overview_kpi_card_for_operated_non_diverted_flights": ("places", lambda d, s: R.kpi_overview(d)),
+    "22_24_overview_kpi_card_for_operated_non_diverted_flights": ("flights", lambda d, s: R.kpi_overview(d)),
     "23_25_cancellation_and_diversion_kpi_card_for_scheduled_flights": ("scheduled", lambda d, s: R.disruption_kpis(d)),
 }
 
@@ -120,16 +118,21 @@ def export_reports(
 ) -> DataFrame:
     """Every report as one CSV, and a manifest of rows per report.
 
-    The flight table is read three times, not once per report: each pass writes
-    one compact table and all reports of that family read it. A report is a
+    Reports of a family read one compact table. Only keys that repeat are counted
+    together (a measure's minutes beside one key, never two measures or distances);
+    reports over several measures pass over their own few columns. A report is a
     handful of rows, so a single output file is no bottleneck.
     """
     spark = flights.sparkSession
     late = flights.where("is_delayed = 1")
     inputs = {
         "calendar": cut_lineage(compact(flights, *CALENDAR_KEYS)),
-        "places": cut_lineage(compact(flights, *PLACE_KEYS)),
-        "severity": cut_lineage(compact(late, *SEVERITY_KEYS)),
+        "airports": cut_lineage(compact(flights, *AIRPORT_KEYS)),
+        "routes": cut_lineage(compact(flights, *ROUTE_KEYS)),
+        "departures": compact(late, "airline_name", "is_delayed", "dep_delay"),
+        "arrivals": compact(late, "airline_name", "is_delayed", "arr_delay"),
+        "causes": compact(late, "main_delay_cause", "is_delayed"),
+        "flights": flights,
         "scheduled": scheduled,
         "scheduled_complete": scheduled.where(F.col("year") < s.partial_year),
     }

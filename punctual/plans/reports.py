@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 
 from punctual.functions import features as X
 from punctual.functions.ratios import rate_pct
-from punctual.functions.weights import compact, count_of, mean2_of, percentile2_of
-from punctual.session import cut_lineage
+from punctual.functions.weights import COUNT, count_of, mean2_of, percentile2_of
 from punctual.settings import Settings
 
 CALENDAR = ("month", "quarter", "day_of_week", "dep_hour", "is_peak_hour", "is_weekend", "year")
 
 
+def set_id(keys: tuple[str, ...], *used: str) -> int:
+    """``grouping_id()`` of a grouping set: a bit for each key that is not in it, the first key highest."""
+    return sum(1 << (len(keys) - 1 - i) for i, key in enumerate(keys) if key not in used)
+
+
 def rate_by(flights: DataFrame, *keys: str | Column, **extra: Column) -> DataFrame:
     """Flights, delayed flights and delay rate per key."""
     table = flights.groupBy(*keys).agg(
@@ -53,13 +57,19 @@ def airline_volume(flights: DataFrame, s: Settings) -> DataFrame:
 def severity_by(flights: DataFrame, key: str, measures: dict[str, str], suffix: str) -> DataFrame:
     """Mean, median and 90th percentile of delay minutes among delayed flights."""
     late = flights.where("is_delayed = 1")
-    rows = compact(late, key, *measures.values())
-    parts = [count_of(rows).alias("delayed_flights")]
+    # every measure's minutes are counted by themselves, in one pass: pairs of minutes would hardly repeat
+    columns = (key, *measures.values())
+    rows = late.groupingSets([[key, minutes] for minutes in measures.values()], *columns).agg(
+        count_of(late).alias(COUNT), F.grouping_id().alias("_set")
+    )
+    own = {minutes: F.col("_set") == set_id(columns, key, minutes) for minutes in measures.values()}
+    parts = [count_of(rows, next(iter(own.values()))).alias("delayed_flights")]
     for short, minutes in measures.items():
+        value = F.when(own[minutes], F.col(minutes))
         parts += [
-            mean2_of(rows, minutes).alias(f"avg_{short}_delay{suffix}"),
-            percentile2_of(rows, minutes, 0.5).alias(f"median_{short}_delay{suffix}"),
-            percentile2_of(rows, minutes, 0.9).alias(f"p90_{short}_delay{suffix}"),
+            mean2_of(rows, value).alias(f"avg_{short}_delay{suffix}"),
+            percentile2_of(rows, value, 0.5).alias(f"median_{short}_delay{suffix}"),
+            percentile2_of(rows, value, 0.9).alias(f"p90_{short}_delay{suffix}"),
         ]
     return rows.groupBy(key).agg(*parts)
 
@@ -173,39 +183,46 @@ def volume_by_year(scheduled: DataFrame) -> DataFrame:
     )
 
 
+#: What the overview counts by itself: members, and minutes of late flights.
+OVERVIEW = ("airline_name", "origin", "route", "late_minutes")
+
+
+def overview_counts(flights: DataFrame) -> DataFrame:
+    """Flights and delayed flights per airline, per origin, per route and per late minute, one below the other."""
+    minutes = F.when(F.col("is_delayed") == 1, F.col("dep_delay"))
+    rows = flights.withColumn("late_minutes", minutes)
+    return rows.groupingSets([[key] for key in OVERVIEW], *OVERVIEW).agg(
+        count_of(rows).alias(COUNT), count_of(rows, F.col("is_delayed") == 1).alias("_late"), F.grouping_id().alias("_set")
+    )
+
+
 def kpi_overview(flights: DataFrame) -> DataFrame:
     """Global measures from a single pass over the flights.
 
-    The pass leaves one row per airline, origin, route and late minute. Distinct
-    counts and percentiles then run on those rows, so flight rows are neither
-    multiplied once per distinct column nor read twice.
+    Each key is counted by itself (grouping sets, summed in the map stage), so what is
+    shuffled are the airlines, origins, routes and minutes that there are, added up, and
+    not their combinations; distinct counts, mean and median read those rows.
     """
-    minutes = F.when(F.col("is_delayed") == 1, F.col("dep_delay"))
-    facts = cut_lineage(
-        compact(flights.withColumn("late_minutes", minutes), "airline_name", "origin", "route", "is_delayed", "late_minutes")
-    )
-    by_minute = compact(facts.where("is_delayed = 1"), "late_minutes")
-    late = by_minute.select(
-        F.struct(
-            mean2_of(by_minute, "late_minutes").alias("mean"),
-            percentile2_of(by_minute, "late_minutes", 0.5).alias("median"),
-        )
-    ).scalar()
-    members = compact(facts, "airline_name", "origin", "route", "is_delayed")
-    card = members.agg(
-        count_of(members).alias("total_operated_flights"),
-        count_of(members, "is_delayed = 1").alias("total_delayed_flights"),
-        F.countDistinct("airline_name").alias("total_airlines"),
-        F.countDistinct("origin").alias("total_origin_airports"),
-        F.countDistinct("route").alias("total_routes"),
+    counts = overview_counts(flights)
+    one = {key: F.col("_set") == set_id(OVERVIEW, key) for key in OVERVIEW}
+    members = lambda key: F.count_if(one[key] & F.col(key).isNotNull())
+    minutes = F.when(one["late_minutes"], F.col("late_minutes"))
+    card = counts.agg(
+        count_of(counts, one["airline_name"]).alias("total_operated_flights"),
+        F.coalesce(F.sum(F.when(one["airline_name"], F.col("_late"))), F.lit(0)).alias("total_delayed_flights"),
+        members("airline_name").alias("total_airlines"),
+        members("origin").alias("total_origin_airports"),
+        members("route").alias("total_routes"),
+        mean2_of(counts, minutes).alias("avg_dep_delay_when_delayed"),
+        percentile2_of(counts, minutes, 0.5).alias("median_dep_delay_when_delayed"),
     )
-    return card.select(
+    return card.withColumn("overall_delay_rate_pct", rate_pct("total_delayed_flights", "total_operated_flights")).select(
         "total_operated_flights",
         "total_delayed_flights",
-        rate_pct("total_delayed_flights", "total_operated_flights").alias("overall_delay_rate_pct"),
+        "overall_delay_rate_pct",
         "total_airlines",
         "total_origin_airports",
         "total_routes",
-        late.getField("mean").alias("avg_dep_delay_when_delayed"),
-        late.getField("median").alias("median_dep_delay_when_delayed"),
+        "avg_dep_delay_when_delayed",
+        "median_dep_delay_when_delayed",
     )

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.operators.cleaning import add_features, drop_undated, fill_missing, only_operated
-from punctual.sources.carriers import carrier_name
+from punctual.sources.carriers import with_airline
 
 # fixed values: carrier codes of the generated table, by position
 FIXTURE_CARRIERS = (
@@ -159,10 +159,6 @@ def scheduled(
     return keyed.selectExpr(*columns)
 
 
-def with_airline(flights: DataFrame) -> DataFrame:
-    return flights.withColumn("airline_name", carrier_name("op_unique_carrier"))
-
-
 def operated(spark: SparkSession, folder: str, label: str = "dep", **scope) -> DataFrame:
     """Flights that ran as planned, filled and with the derived columns."""
     base = drop_undated(only_operated(scheduled(spark, folder, **scope)))

@@ -1,4 +1,4 @@
-"""Monthly flight files: one distributed scan, a manifest check, provenance."""
+"""Monthly flight files: where they are expected, reading and writing them, months without flights."""
 
 from __future__ import annotations
 
@@ -6,40 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.settings import Settings
-from punctual.sources.schema import FLIGHT_COLUMNS, landing_schema
+from punctual.sources.month_layouts import expected_months, list_files, read_layouts
+from punctual.sources.schema import FLIGHT_COLUMNS
 
 
 def expected_paths(folder: str, s: Settings) -> list[str]:
     """``<folder>/YYYY/YYYY-MM.csv`` for every expected month."""
-    first, last = s.expected_first_month, s.expected_last_month
-    months = [
-        (year, month)
-        for year in range(int(first[:4]), int(last[:4]) + 1)
-        for month in range(1, 13)
-        if first[:7] <= f"{year}-{month:02d}" <= last[:7] and year not in s.skipped_years
-    ]
-    return [f"{folder}/{year}/{year}-{month:02d}.csv" for year, month in months]
+    months = expected_months(s.expected_first_month, s.expected_last_month, s.skipped_years)
+    return [f"{folder}/{month[:4]}/{month}.csv" for month in months]
 
 
-def read_months(spark: SparkSession, paths: list[str] | str, columns=FLIGHT_COLUMNS) -> DataFrame:
-    """All files in one scan, as text, with the file each row came from.
+def read_months(spark: SparkSession, paths: list[str] | str, columns=FLIGHT_COLUMNS, required=None) -> DataFrame:
+    """All files, or all below a folder, read by the names in their headers, as text, with the file each row came from.
 
-    The header check makes Spark fail on a file whose columns differ. Pass a
-    folder instead of a list when there are very many files.
+    Without ``required`` a file must have all ``columns``.
     """
-    return (
-        spark.read.schema(landing_schema(columns))
-        .options(header=True, enforceSchema=False, recursiveFileLookup=True)
-        .csv(paths)
-        .withColumn("source_file", F.col("_metadata.file_path"))
-    )
+    if isinstance(paths, str):
+        paths = [path for path, size in list_files(spark, paths) if size]
+    return read_layouts(spark, paths, columns, columns if required is None else required)
+
 
+def write_months(flights: DataFrame, folder: str, upper: bool = True) -> None:
+    """One folder of CSV parts per month, named ``YYYY-MM``.
 
-def write_months(flights: DataFrame, folder: str) -> None:
-    """One folder of CSV parts per month, named ``YYYY-MM``; nothing gathers on one task."""
-    upper = flights.toDF(*[c.upper() for c in flights.columns])
-    month = F.format_string("%04d-%02d", F.col("YEAR"), F.col("MONTH"))
-    upper.withColumn("file_month", month).write.mode("overwrite").partitionBy("file_month").option(
+    Rows are ranged by month first, so a task writes few months; the row hash lets a
+    crowded month span tasks.
+    """
+    named = flights.toDF(*[c.upper() for c in flights.columns]) if upper else flights
+    month = F.format_string("%04d-%02d", F.col("year"), F.col("month"))
+    ranged = named.withColumn("file_month", month).repartitionByRange("file_month", F.xxhash64(*named.columns))
+    ranged.write.mode("overwrite").partitionBy("file_month").option(
         "header", True
     ).csv(folder)
 

@@ -12,29 +12,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from punctual.operators.cleaning import clean, keep_columns, require_columns, snake_case
+from punctual.operators.cleaning import clean, keep_columns, require_columns
+from punctual.operators.copies import distinct_rows
 from punctual.plans.series import daily_rate
 from punctual.session import cut_lineage
-from punctual.sources.schema import FLIGHT_COLUMNS, landing_schema
+from punctual.sources.month_layouts import read_layouts
+from punctual.sources.schema import FLIGHT_COLUMNS, REQUIRED_COLUMNS
 
 
-def arriving(spark: SparkSession, folder: str, columns=FLIGHT_COLUMNS, files_per_batch: int = 12) -> DataFrame:
+def arriving(spark: SparkSession, folder: str, files_per_batch: int = 12) -> DataFrame:
+    """A row per file as files arrive; their contents are not read here."""
     return (
-        spark.readStream.schema(landing_schema(columns))
-        .options(header=True, recursiveFileLookup=True, maxFilesPerTrigger=files_per_batch)
-        .csv(folder)
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .options(recursiveFileLookup=True, pathGlobFilter="*.csv", maxFilesPerTrigger=files_per_batch)
+        .load(folder)
+        .select("path")
     )
 
 
-def clean_arrivals(arrivals: DataFrame, table: str, progress: str) -> StreamingQuery:
-    """Process everything that has arrived, then stop; run again for the next month."""
+def clean_arrivals(arrivals: DataFrame, table: str, progress: str, columns=FLIGHT_COLUMNS, required=REQUIRED_COLUMNS) -> StreamingQuery:
+    """Process everything that has arrived, each file by its header, then stop; run again for the next month."""
     spark, seen = arrivals.sparkSession, f"{table}.seen"
     noted = "day string, h1 bigint, h2 bigint"
     # an empty first folder: later batches read what is noted without asking whether there is any
     spark.createDataFrame([], noted).write.mode("overwrite").parquet(f"{seen}/batch=-1")
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = keep_columns(require_columns(snake_case(batch))).dropDuplicates()
+        paths = [r["path"] for r in batch.collect()]  # as many as a batch may have
+        if not paths:
+            return
+        rows = distinct_rows(keep_columns(require_columns(read_layouts(spark, paths, columns, required))))
         marked = rows.withColumns({
             "day": F.col("fl_date").cast("string"),
             "h1": F.xxhash64(*rows.columns), "h2": F.xxhash64(F.lit(1), *reversed(rows.columns)),

@@ -74,7 +74,7 @@ def test_arriving_files(spark, tables, tmp_path):
     for part in (None, late):
         if part is not None:
             F.write_months(part, f"{months}/late")
-        arrivals = monthly_arrivals.arriving(spark, months, COLUMNS, files_per_batch=1000)
+        arrivals = monthly_arrivals.arriving(spark, months, files_per_batch=1000)
         monthly_arrivals.clean_arrivals(arrivals, table, progress).awaitTermination()
     stored = spark.read.parquet(table)
     assert stored.count() == tables.operated().count()
@@ -88,7 +88,7 @@ def test_copies_in_other_batches(spark, tables, tmp_path):
     months, table, progress = (str(tmp_path / n) for n in ("months", "table", "progress"))
     F.write_months(flights, f"{months}/a")
     F.write_months(flights, f"{months}/b")
-    arrivals = monthly_arrivals.arriving(spark, months, COLUMNS, files_per_batch=1)
+    arrivals = monthly_arrivals.arriving(spark, months, files_per_batch=1)
     monthly_arrivals.clean_arrivals(arrivals, table, progress).awaitTermination()
     stored = spark.read.parquet(table)
     assert stored.count() == tables.operated().where("year = 1996 AND month = 3").count()
