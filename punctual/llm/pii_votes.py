@@ -180,20 +180,30 @@ class SpanModel:
         return 0.0 if self.weights is None else float(1 / (1 + np.exp(-numbers(pattern, form) @ self.weights)))
 
 
-def aggregate(patterns: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of each pattern, and per labeler P(yes | personal) and P(yes | other), by EM."""
-    signs = np.array([[{"+": 1, "-": 0, "0": -1}[c] for c in p] for p in patterns])
-    yes, no = signs == 1, signs == 0
-    rate, prior = np.tile([[0.8], [0.2]], (1, signs.shape[1])), 0.5
+#: What a labeler says of personal and of other spans before anything is seen: yes, no, nothing.
+BELIEF = np.array([[0.4, 0.1, 0.5], [0.1, 0.4, 0.5]])
+
+
+def aggregate(patterns: list[str], counts: np.ndarray, personal: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of each pattern, and per labeler P(yes | personal) and P(yes | other), by EM.
+
+    A labeler says yes, no or nothing, each with its own probability per class, so that
+    silence counts as evidence too. Patterns marked ``personal`` (base spans) are known;
+    ``BELIEF`` keeps a fifth of every class, so no labeler turns against what it stands for.
+    """
+    said = np.array([[c == x for c in p] for x in "+-0" for p in patterns], float).reshape(3, len(patterns), -1)
+    known = np.zeros(len(patterns), bool) if personal is None else np.asarray(personal, bool)
+    rate, prior = np.repeat(BELIEF[:, :, None], said.shape[2], axis=2), 0.5
     for _ in range(ROUNDS):
-        log_odds = np.log(prior / (1 - prior)) + yes @ np.log(rate[0] / rate[1]) + no @ np.log((1 - rate[0]) / (1 - rate[1]))
-        posterior = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
+        log_odds = np.log(prior / (1 - prior)) + np.einsum("vpl,vl->p", said, np.log(rate[0] / rate[1]))
+        posterior = np.where(known, 1.0, 1 / (1 + np.exp(-np.clip(log_odds, -30, 30))))
         for side, share in enumerate((posterior * counts, (1 - posterior) * counts)):
-            # a beta prior keeps labelers better than chance and away from certainty
-            a, b = ((8, 2), (2, 8))[side]
-            rate[side] = (share @ yes + a) / (share @ yes + share @ no + a + b)
-        prior = float(np.clip((posterior @ counts + 1) / (counts.sum() + 2), 0.05, 0.95))
-    return posterior, rate
+            weight = 10 + 0.2 * share.sum()
+            rate[side] = (np.einsum("p,vpl->vl", share, said) + weight * BELIEF[side][:, None]) / (share.sum() + weight)
+        # base spans are certain, so the share among the others is what has to be learned
+        open_counts = np.where(known, 0.0, counts)
+        prior = float(np.clip((posterior @ open_counts + 1) / (open_counts.sum() + 2), 0.05, 0.95))
+    return posterior, rate[:, 0]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -217,30 +227,32 @@ def each_text(texts: pa.Array):
     for lo, _, data, edges in pieces(texts):
         for d in texts_with_marks(data, edges):
             yield lo + int(d), data[edges[d] : edges[d + 1]].tobytes().decode("utf-8", "replace")
-        if (b := data.tobytes()).find(b"at") >= 0 and (b"[" in b or b"(" in b):
+        if b"[" in (b := data.tobytes()) or b"(" in b:
             marked = set(texts_with_marks(data, edges).tolist())
             for d in range(len(edges) - 1):
                 part = b[edges[d] : edges[d + 1]]
-                if d not in marked and (b"[" in part or b"(" in part):
+                # each text by itself: what a text's neighbours hold does not matter
+                if d not in marked and (b"[" in part or b"(" in part) and (b"at" in part or b"AT" in part):
                     yield lo + d, part.decode("utf-8", "replace")
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> SpanModel:
     def columns(batch: pa.RecordBatch) -> dict:
-        rows: dict[tuple[str, str], int] = {}
+        rows: dict[tuple[str, str, bool], int] = {}
         for _, text in each_text(batch.column(0)):
             base = base_spans(text)
-            for s, e in [*{(s, e) for s, e, _ in base}, *wider(text, base)]:
-                key = (votes(text, s, e), shape(text[s:e]))
-                rows[key] = rows.get(key, 0) + 1
-        return {"pattern": [k[0] for k in rows], "form": [k[1] for k in rows], "n": list(rows.values())}
-
-    counted = map_batches(docs.select(F.col(text_col).alias("text")), "pattern string, form string, n bigint", columns)
-    rows = counted.groupBy("pattern", "form").agg(F.sum("n").alias("n")).orderBy("pattern", "form").collect()
+            for spans, sure in (({(s, e) for s, e, _ in base}, True), (wider(text, base), False)):
+                for s, e in spans:
+                    key = (votes(text, s, e), shape(text[s:e]), sure)
+                    rows[key] = rows.get(key, 0) + 1
+        return {"pattern": [k[0] for k in rows], "form": [k[1] for k in rows], "base": [k[2] for k in rows], "n": list(rows.values())}
+
+    counted = map_batches(docs.select(F.col(text_col).alias("text")), "pattern string, form string, base boolean, n bigint", columns)
+    rows = counted.groupBy("pattern", "form", "base").agg(F.sum("n").alias("n")).orderBy("pattern", "form", "base").collect()
     if not rows:
         return SpanModel(np.zeros((2, len(LABELERS))), None)
     counts = np.array([r["n"] for r in rows], float)
-    posterior, rate = aggregate([r["pattern"] for r in rows], counts)
+    posterior, rate = aggregate([r["pattern"] for r in rows], counts, np.array([r["base"] for r in rows]))
     return SpanModel(rate, logistic(np.array([numbers(r["pattern"], r["form"]) for r in rows]), posterior, counts))
 
 

@@ -88,6 +88,34 @@ def test_written_address_is_found(spark):
     assert all(got[100 + i] == 1 for i in range(20)) and not any(got[200 + i] for i in range(40))
 
 
+def test_written_addresses_in_capitals_and_among_neighbours(spark):
+    """A text's spans are its own: the same alone and beside others, in small letters and in capitals."""
+    lines = [(i, f"mail me at name{i}@mail.example.com or phone +1 (212) 555-01{i:02d} today") for i in range(60)]
+    lines += [(100, "contact JOHN [AT] MIX [DOT] COM"), (101, "contact john (at) mail (dot) org"), (102, "nothing [here] to see")]
+    docs = spark.createDataFrame(lines, "doc_id bigint, text string")
+    model = pii_votes.fit(docs)
+    alone = {i: pii_votes.found_spans(pa.array([t]), model)[0] for i, t in lines}
+    together = pii_votes.found_spans(pa.array([t for _, t in lines]), model)
+    assert [alone[i] for i, _ in lines] == together
+    assert [len(alone[i]) for i in (100, 101, 102)] == [1, 1, 0]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_planted_spans(spark, seed):
+    """Of planted unlabelled spans at least nine tenths are found; of other numbers at most a tenth."""
+    import random
+
+    rng = random.Random(seed)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(4, 9)))
+    lines = [f"write to {word()}@{word()}.com or call +49 {digits(3)} {digits(7)}" for _ in range(80)]
+    planted = [f"contact {word()} [at] mail{word()} [dot] com please" for _ in range(40)]
+    others = [f"invoice {digits(10)} for item {digits(9)} on page {digits(8)}" for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(lines + planted + others)), "doc_id bigint, text string")
+    got = [r["n_personal"] for r in pii_votes.digest(pii_votes.scan(docs)).orderBy("doc_id").collect()]
+    assert sum(n > 0 for n in got[80:120]) >= 36 and sum(got[120:]) <= 18
+
+
 def test_long_texts_take_linear_time():
     for text in ("a" * 200_000 + "@", "1" * 200_000, "+1" + " " * 200_000, "1." * 100_000, "token " * 40_000):
         pii_votes.base_spans(text)
