@@ -119,7 +119,7 @@ def scheduled_sql(body: str, *ctes: str) -> str:
 
 
 def operated_sql(body: str, *ctes: str, label: str = "dep") -> str:
-    return "WITH " + ",\n".join((SCHEDULED, operated(label), COMPLETE) + ctes) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join((SCHEDULED, operated(label), COMPLETE) + ctes) + "\n" + body
 
 
 def rate(part: str, whole: str) -> str:

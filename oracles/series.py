@@ -215,6 +215,39 @@ FORECAST = {
     ),
 }
 
+SERIES_ACF = (
+    SERIES
+    + """, v AS (SELECT *, y - avg(y) OVER (PARTITION BY series_key) AS d, row_number() OVER (PARTITION BY series_key ORDER BY ds) AS i,
+      count(*) OVER (PARTITION BY series_key) AS n FROM usable WHERE ds <= DATE '2000-12-31'),
+    acf AS (SELECT a.series_key, any_value(a.n) AS n, CAST(k AS INTEGER) AS lag, sum(a.d * b.d) / any_value(c0) AS acf
+      FROM v a JOIN (SELECT series_key, sum(d*d) AS c0 FROM v GROUP BY 1) z USING (series_key)
+      CROSS JOIN range(41) s(k) JOIN v b ON a.series_key = b.series_key AND b.i = a.i - k GROUP BY a.series_key, k)"""
+)
+
+PORTMANTEAU = """SELECT series_key, method, lag, n * (n + 2) * s AS q FROM (
+  SELECT *, sum(acf*acf/(n - lag)) OVER (PARTITION BY series_key, method ORDER BY lag) AS s FROM acf WHERE lag > 0)
+  WHERE lag IN (7, 14, 21, 28)"""
+
+# upper tail of chi-square: one less the series of the incomplete gamma function
+CHI_TAIL = """greatest(0, 1 - CASE WHEN q <= 0 THEN 0 ELSE
+  list_sum(list_transform(range(900), lambda i: exp((lag / 2.0 + i) * ln(q / 2.0) - q / 2.0 - lgamma(lag / 2.0 + i + 1)))) END)"""
+
+
+def partial(keys: str, before: str) -> str:
+    """Durbin-Levinson as a recursive query over each series' list of correlations."""
+    return q(
+        f"""SELECT {keys}, CAST(0 AS INTEGER) AS lag, CAST(1 AS DOUBLE) AS pacf FROM lists
+        UNION ALL SELECT {keys}, CAST(k AS INTEGER), round(last, 6) FROM steps""",
+        before + f""", lists AS (SELECT {keys}, list(acf ORDER BY lag) AS r FROM acf GROUP BY {keys}),
+        steps AS (
+          SELECT {keys}, r, 1 AS k, r[2] AS last, [r[2]] AS phi FROM lists WHERE len(r) > 1
+          UNION ALL
+          SELECT {keys}, r, k + 1, next, list_append(list_transform(range(1, k + 1), lambda i: phi[i] - next * phi[k + 1 - i]), next) FROM (
+            SELECT *, (r[k + 2] - list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * r[k + 2 - i])))
+              / (1 - list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * r[i + 1]))) AS next FROM steps WHERE k + 1 < len(r)))""",
+    )
+
+
 DIAGNOSTICS = {
     "acc_mae": q("SELECT series_key, method, round(mae, 6) AS mae FROM metrics", FORECASTS),
     "acc_rmse": q("SELECT series_key, method, round(rmse, 6) AS rmse FROM metrics", FORECASTS),
@@ -236,12 +269,7 @@ DIAGNOSTICS = {
     "res_acf": q("SELECT series_key, method, n, lag, round(acf, 6) AS acf FROM acf", ACF),
     "res_acf_series": q(
         "SELECT series_key, n, lag, round(acf, 6) AS acf FROM acf",
-        SERIES
-        + """, v AS (SELECT *, y - avg(y) OVER (PARTITION BY series_key) AS d, row_number() OVER (PARTITION BY series_key ORDER BY ds) AS i,
-          count(*) OVER (PARTITION BY series_key) AS n FROM usable WHERE ds <= DATE '2000-12-31'),
-        acf AS (SELECT a.series_key, any_value(a.n) AS n, CAST(k AS INTEGER) AS lag, sum(a.d * b.d) / any_value(c0) AS acf
-          FROM v a JOIN (SELECT series_key, sum(d*d) AS c0 FROM v GROUP BY 1) z USING (series_key)
-          CROSS JOIN range(41) s(k) JOIN v b ON a.series_key = b.series_key AND b.i = a.i - k GROUP BY a.series_key, k)""",
+        SERIES_ACF,
     ),
     "res_conf_band": q(
         """SELECT series_key, method, n, lag, round(1.959963984540054 * sqrt(CASE WHEN lag = 0 THEN 0 ELSE
@@ -255,6 +283,10 @@ DIAGNOSTICS = {
           WHERE lag IN (7, 14, 21, 28)""",
         ACF,
     ),
+    "res_ljung_box_pvalue": q(f"SELECT series_key, method, lag, round(q, 6) AS q, round({CHI_TAIL}, 6) AS p_value FROM ({PORTMANTEAU})", ACF),
+    "res_ljung_box_min": q(f"SELECT series_key, method, round(min({CHI_TAIL}), 6) AS min_p_value FROM ({PORTMANTEAU}) GROUP BY series_key, method", ACF),
+    "res_pacf": partial("series_key, method", ACF),
+    "res_pacf_series": partial("series_key", SERIES_ACF),
     "res_histogram": q(
         """SELECT e.series_key, e.method, CAST(k AS INTEGER) AS bin, round(any_value(m), 6) AS mean_residual,
           count(r.residual) AS n_days

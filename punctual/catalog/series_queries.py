@@ -188,15 +188,15 @@ DIAGNOSTICS = {
     "res_acf_series": lambda t: rounded(
         A.autocorrelation(T.between(usable(t), t.s.series_start, t.s.series_train_end), "y", 40, "series_key")
     ),
-    "res_pacf": lambda t: A.partial_autocorrelation(residual_acf(t)),
-    "res_pacf_series": lambda t: A.partial_autocorrelation(
+    "res_pacf": lambda t: rounded(A.partial_autocorrelation(residual_acf(t))),
+    "res_pacf_series": lambda t: rounded(A.partial_autocorrelation(
         A.autocorrelation(T.between(usable(t), t.s.series_start, t.s.series_train_end), "y", 40, "series_key"),
         "series_key",
-    ),
+    )),
     "res_conf_band": lambda t: rounded(A.confidence_band(residual_acf(t)).drop("acf")),
     "res_ljung_box": lambda t: rounded(A.ljung_box(residual_acf(t)).drop("n")),
-    "res_ljung_box_pvalue": lambda t: A.ljung_box_pvalues(residual_acf(t)),
-    "res_ljung_box_min": lambda t: A.ljung_box_min(residual_acf(t)),
+    "res_ljung_box_pvalue": lambda t: rounded(A.ljung_box_pvalues(residual_acf(t)).drop("n")),
+    "res_ljung_box_min": lambda t: rounded(A.ljung_box_min(residual_acf(t))),
     "res_histogram": lambda t: rounded(A.residual_histogram(weekday_residuals(t))),
     "ts_adf": lambda t: A.unit_root(T.between(usable(t), t.s.series_start, t.s.series_train_end)),
 }

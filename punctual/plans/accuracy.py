@@ -111,24 +111,29 @@ def confidence_band(acf: DataFrame, *keys: str) -> DataFrame:
     return acf.withColumn("half_width", BAND_Z * F.sqrt(variance))
 
 
-def _durbin_levinson(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("lag")
-    r = pdf["acf"].to_numpy(float)
-    partial, phi = [1.0], np.zeros(0)
-    for k in range(1, len(r)):
-        top = r[k] - np.dot(phi, r[k - 1: 0: -1]) if k > 1 else r[1]
-        bottom = 1.0 - np.dot(phi, r[1:k]) if k > 1 else 1.0
-        last = top / bottom if bottom else np.nan
-        phi = np.append(phi - last * phi[::-1], last)
-        partial.append(last)
-    return pd.DataFrame({**{c: pdf[c] for c in pdf.columns if c not in ("acf", "n")}, "pacf": partial})
+#: One step of the recursion for lag k: the newest coefficient, then all of them brought up to date.
+DURBIN_LEVINSON = """aggregate(
+  if(size(r) > 1, sequence(1, size(r) - 1), cast(array() AS array<int>)),
+  named_struct('phi', cast(array() AS array<double>), 'partial', array(1D)),
+  (s, k) -> transform(
+    array(try_divide(
+      r[k] - aggregate(zip_with(s.phi, reverse(slice(r, 2, k - 1)), (p, x) -> p * x), 0D, (t, x) -> t + x),
+      1D - aggregate(zip_with(s.phi, slice(r, 2, k - 1), (p, x) -> p * x), 0D, (t, x) -> t + x))),
+    last -> named_struct(
+      'phi', concat(zip_with(s.phi, reverse(s.phi), (p, q) -> p - last * q), array(last)),
+      'partial', concat(s.partial, array(last))))[0],
+  s -> s.partial)"""
 
 
 def partial_autocorrelation(acf: DataFrame, *keys: str) -> DataFrame:
-    """Yule-Walker recursion on each series' short list of correlations."""
+    """Yule-Walker recursion on each series' short list of correlations, as one expression over its array."""
     keys = keys or KEYS
-    schema = ", ".join([f"{k} string" for k in keys] + ["lag int", "pacf double"])
-    return acf.select(*keys, "lag", "acf").groupBy(*keys).applyInPandas(_durbin_levinson, schema)
+    lists = acf.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lag", "acf"))).alias("_pairs"))
+    # at most as many entries as lags
+    rows = lists.select(*keys, F.col("_pairs")["acf"].cast("array<double>").alias("r"), F.col("_pairs")["lag"].alias("_lags"))
+    return rows.select(*keys, F.explode(F.arrays_zip(F.col("_lags").alias("lag"), F.expr(DURBIN_LEVINSON).alias("pacf"))).alias("_row")).select(
+        *keys, F.col("_row")["lag"].cast("int").alias("lag"), F.col("_row")["pacf"].alias("pacf")
+    )
 
 
 def ljung_box(acf: DataFrame, *keys: str, lags=PORTMANTEAU_LAGS) -> DataFrame:
@@ -142,25 +147,38 @@ def ljung_box(acf: DataFrame, *keys: str, lags=PORTMANTEAU_LAGS) -> DataFrame:
     )
 
 
-def chi_square_tail(x: float, df: int) -> float:
-    """Upper tail for whole degrees of freedom, in closed form."""
-    half = x / 2
-    if df % 2:
-        total, term = math.erfc(math.sqrt(half)), math.sqrt(half) * math.exp(-half) / math.gamma(1.5)
-        start = 1.5
-    else:
-        total, term, start = 0.0, math.exp(-half), 1.0
-    for step in range(df // 2):
-        total += term
-        term *= half / (start + step)
-    return min(max(total, 0.0), 1.0)
+def erfc(x: Column) -> Column:
+    """Complementary error function of a value that is not negative: a power series, a continued fraction beyond 2."""
+    square = x * x
+    # sum of 2^n x^(2n+1) / (2n+1)!!
+    terms = F.aggregate(
+        F.sequence(F.lit(1), F.lit(40)),
+        F.struct(x.alias("total"), x.alias("term")),
+        lambda s, n: F.struct((s["total"] + s["term"] * 2 * square / (2 * n + 1)).alias("total"), (s["term"] * 2 * square / (2 * n + 1)).alias("term")),
+        lambda s: s["total"],
+    )
+    fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1)), F.lit(1.0), lambda t, k: F.lit(1.0) + k / (2 * square) / t)
+    root_pi = math.sqrt(math.pi)
+    return F.when(x < 2, F.lit(1.0) - terms * F.exp(-square) * 2 / root_pi).otherwise(F.exp(-square) / (x * root_pi * fraction))
 
 
 def tail_probability(x: str, df: str) -> Column:
-    def tail(statistics: pd.Series, degrees: pd.Series) -> pd.Series:
-        return pd.Series([chi_square_tail(a, int(b)) for a, b in zip(statistics, degrees)])
-
-    return F.pandas_udf(tail, "double")(x, df)
+    """Upper tail of chi-square for whole degrees of freedom: a finite sum, for odd ones on top of ``erfc``."""
+    half, odd = F.col(x) / 2, F.col(df) % 2 == 1
+    steps = (F.col(df) - F.col(df) % 2) / 2
+    root = F.sqrt(half)
+    first = F.struct(
+        F.when(odd, erfc(root)).otherwise(F.lit(0.0)).alias("total"),
+        (F.when(odd, root / math.gamma(1.5)).otherwise(F.lit(1.0)) * F.exp(-half)).alias("term"),
+    )
+    start = F.when(odd, F.lit(1.5)).otherwise(F.lit(1.0))
+    summed = F.aggregate(
+        F.when(steps > 0, F.sequence(F.lit(0), steps.cast("int") - 1)).otherwise(F.array().cast("array<int>")),
+        first,
+        lambda s, i: F.struct((s["total"] + s["term"]).alias("total"), (s["term"] * half / (start + i)).alias("term")),
+        lambda s: s["total"],
+    )
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), summed))
 
 
 def ljung_box_pvalues(acf: DataFrame, *keys: str) -> DataFrame:

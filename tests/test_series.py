@@ -7,6 +7,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as SF
 
 from punctual.plans import accuracy as A
 from punctual.plans import forecasts as P
@@ -122,11 +123,44 @@ def test_order_search_prefers_weekly_terms(spark):
     assert P.best_order(P.order_scores(framed)).first().seasonal >= 1
 
 
-def test_chi_square_tail():
-    assert A.chi_square_tail(3.841458820694124, 1) == pytest.approx(0.05)
-    assert A.chi_square_tail(14.067140449340169, 7) == pytest.approx(0.05)
-    assert A.chi_square_tail(23.684791304840576, 14) == pytest.approx(0.05)
-    assert A.chi_square_tail(0.0, 7) == 1.0
+def plain_tail(x, df):
+    """Numerical integral of the density above x."""
+    at = x + (np.arange(400_000) + 0.5) * 2e-3
+    return float(np.exp((df / 2 - 1) * np.log(at) - at / 2 - df / 2 * math.log(2) - math.lgamma(df / 2)).sum() * 2e-3)
+
+
+def test_chi_square_tail(spark):
+    cases = [(3.841458820694124, 1), (14.067140449340169, 7), (23.684791304840576, 14), (0.0, 7), (0.0, 2)]
+    cases += [(float(x), df) for x in (0.5, 3.0, 7.9, 8.1, 20.0, 60.0, 300.0) for df in (1, 2, 7, 14, 21, 28)]
+    got = [r.p for r in spark.createDataFrame(cases, "x double, df int").coalesce(1).select(A.tail_probability("x", "df").alias("p")).collect()]
+    assert got[:3] == pytest.approx([0.05] * 3) and got[3:5] == [1.0, 1.0]
+    for (x, df), p in list(zip(cases, got))[5:]:
+        # the density of one degree has a pole at 0: a rough integral there
+        assert p == pytest.approx(plain_tail(x, df), rel=2e-3 if df == 1 else 1e-5, abs=1e-12)
+
+
+def test_erfc(spark):
+    xs = [0.0, 1e-6, 0.1, 0.5, 1.0, 1.5, 1.99, 2.0, 2.5, 4.0, 8.0, 20.0]
+    got = [r.p for r in spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1).select(A.erfc(SF.col("x")).alias("p")).collect()]
+    assert got == pytest.approx([math.erfc(x) for x in xs], rel=1e-9, abs=1e-14)
+
+
+def test_partial_autocorrelation_of_short_lists(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for name, n in (("a", 1), ("b", 2), ("c", 12)):
+        y = rng.normal(size=200).cumsum()[:200] * 0.3 + rng.normal(size=200)
+        d = y - y.mean()
+        r = [float((d[k:] * d[: len(d) - k]).sum() / (d * d).sum()) for k in range(n)]
+        rows += [(name, "m", 200, k, x) for k, x in enumerate(r)]
+        # the last coefficient of each Yule-Walker system
+        want[name] = [1.0] + [float(np.linalg.solve(np.array([[r[abs(i - j)] for j in range(k)] for i in range(k)]), np.array(r[1 : k + 1]))[-1]) for k in range(1, n)]
+    acf = spark.createDataFrame(rows, "series_key string, method string, n int, lag int, acf double").repartition(3)
+    got = {}
+    for r in A.partial_autocorrelation(acf).orderBy("series_key", "lag").collect():
+        got.setdefault(r.series_key, []).append(r.pacf)
+    assert {k: pytest.approx(v) for k, v in want.items()} == got
+    assert A.partial_autocorrelation(acf.where("lag > 99")).collect() == []
 
 
 def test_partial_autocorrelation_of_an_ar1(spark):
