@@ -46,6 +46,8 @@ STOPS, SPACES = table(b".,;:!?\x0a\x0b\x0c\x0d"), table(b"\x20\x09")
 #: A group's name is its chunk and its number there; a chunk's is its task and its number there.
 NUMBER_BITS, CHUNK_BITS = 26, 17
 COUNT = "decimal(14,0)"
+#: Shuffle files go when the job that wrote them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: ``at``: gaps between places; ``of``: numbers of the groups there; one entry of the arrays per distinct group.
 WORDS = "chunk bigint, lang string, at binary, of binary, words array<binary>, counts array<bigint>"
 PHRASES = "chunk bigint, lang string, at binary, of binary, heads array<bigint>, tails array<bigint>, counts array<bigint>"
@@ -60,7 +62,16 @@ class Store:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = run_folder(self.spark, name)
-        df.write.option("compression", "zstd").parquet(path)
+        # what a stored relation was shuffled through is not read again
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
         table = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(table)] = path
         return table
