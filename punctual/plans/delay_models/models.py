@@ -1,45 +1,22 @@
-"""Four classifiers on the assembled features, all fitted by distributed MLlib jobs."""
+"""Four classifiers on the assembled features, three fitted by MLlib and one from histograms."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    LogisticRegression,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from punctual.plans.delay_models.boosted_stumps import StumpEnsemble, boost
 from punctual.plans.delay_models.features import class_weights
-from punctual.session import cut_lineage
 from punctual.settings import Settings
 
 # fixed values: model names
 LOGISTIC, FOREST, BOOSTED, STUMPS = "Logistic Regression", "Random Forest", "Boosted Trees", "AdaBoost"
 
 
-class StumpEnsemble:
-    """Weighted vote of one-split trees."""
-
-    def __init__(self, trees: list, votes: list[float], importance: list[float]):
-        self.trees, self.votes, self.importance = trees, votes, importance
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        keep = df.columns
-        df = df.withColumn("vote", F.lit(0.0))
-        for tree, vote in zip(self.trees, self.votes):
-            ballot = F.when(F.col("prediction") == 1, F.lit(vote)).otherwise(F.lit(-vote))
-            df = tree.transform(df).select(*keep, (F.col("vote") + ballot).alias("vote"))
-        share = F.col("vote") / F.lit(sum(self.votes) or 1.0)
-        probability = 1 / (1 + F.exp(-share))
-        return df.select(*keep, probability.alias("score"), (share > 0).cast("double").alias("prediction"))
-
-
 def logistic(train: DataFrame, s: Settings):
     weighted = class_weights(train)
     # unit inverse penalty per row, on features that are already scaled
@@ -64,34 +41,8 @@ def boosted(train: DataFrame, s: Settings):
     ).fit(train)
 
 
-def stumps(train: DataFrame, s: Settings, cut_every: int = 10) -> StumpEnsemble:
-    """Adaptive boosting of one-split trees.
-
-    A round is one tree fit, one aggregate for its error and a new weight column;
-    the rows are written to shared storage every few rounds so that the plan stays
-    short and a lost executor costs little.
-    """
-    rows = train.select("label", "features").withColumn("weight", F.lit(1.0))
-    trees, votes, importance = [], [], None
-    for turn in range(s.stump_rounds):
-        tree = DecisionTreeClassifier(maxDepth=1, weightCol="weight", seed=s.sample_seed + turn).fit(rows)
-        wrong = (F.col("prediction") != F.col("label")).cast("double")
-        judged = tree.transform(rows).select("label", "features", "weight", wrong.alias("wrong"))
-        total = judged.agg((F.sum(F.col("weight") * F.col("wrong")) / F.sum("weight")).alias("error")).first()
-        if total.error >= 0.5:
-            break
-        vote = s.stump_step * math.log((1 - total.error) / max(total.error, 1e-12))
-        trees.append(tree)
-        votes.append(vote)
-        part = [vote * v for v in tree.featureImportances.toArray()]
-        importance = part if importance is None else [a + b for a, b in zip(importance, part)]
-        if total.error <= 0:
-            break
-        rows = judged.select("label", "features", (F.col("weight") * F.exp(vote * F.col("wrong"))).alias("weight"))
-        if (turn + 1) % cut_every == 0:
-            rows = cut_lineage(rows)
-    scale = sum(votes) or 1.0
-    return StumpEnsemble(trees, votes, [v / scale for v in importance or []])
+def stumps(train: DataFrame, s: Settings) -> StumpEnsemble:
+    return boost(train, s.stump_rounds, s.stump_step, s.split_bins)
 
 
 FITTERS: dict[str, Callable] = {LOGISTIC: logistic, STUMPS: stumps, FOREST: forest, BOOSTED: boosted}

@@ -67,6 +67,7 @@ class Settings:
     boost_subsample: float = 0.8
     stump_rounds: int = 80
     stump_step: float = 0.5
+    split_bins: int = 64
 
     @property
     def complete_years(self) -> list[int]:
