@@ -34,6 +34,18 @@ COUNTS = (
     words AS (SELECT column_name, coalesce(value, mode) AS value, sum(n) AS n FROM cnt JOIN mode USING (column_name) GROUP BY 1, 2)"""
 )
 
+# what the models learn from: all operated flights of a split, prepared by the training split alone
+LEARNED = f"holey AS (SELECT *, {SPLIT} FROM operated), fit AS (SELECT * FROM holey WHERE split = 'train')"
+
+
+def bucket(c: str) -> str:
+    """Whether a category has a slot: its value occurs in the training split, alone or pooled with other rare ones."""
+    return f"CASE WHEN coalesce({c}, (SELECT mode FROM mode WHERE column_name = '{c}')) IN (SELECT value FROM words WHERE column_name = '{c}') THEN 1 ELSE 0 END"
+
+
+SLOTS = f"""slots AS (SELECT {len(NUMERIC)} + count(*) AS n_slots FROM (
+  SELECT DISTINCT column_name, CASE WHEN n >= 100 THEN value ELSE '__infrequent__' END FROM words))"""
+
 SCORES = """sc AS (SELECT airline_name AS model, (dep_hour*40 + crs_dep_time % 100) / CAST(1100 AS DOUBLE) AS score, is_delayed AS label,
   CASE WHEN (dep_hour*40 + crs_dep_time % 100) / CAST(1100 AS DOUBLE) >= 0.5 THEN 1 ELSE 0 END AS prediction FROM complete),
 cm AS (SELECT model, count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn, count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
@@ -68,6 +80,15 @@ SQL = {
         ),
         HOLEY, COUNTS,
     ),
+    "ml_onehot_unknown_zero": operated_sql(
+        "SELECT CAST(0 AS INTEGER) AS n_set, count(*) AS n_rows FROM holey WHERE split = 'test' HAVING count(*) > 0", LEARNED
+    ),
+    "ml_assemble_sparse": operated_sql(
+        "SELECT split, count(*) AS n_rows, CAST(max(n_slots) AS INTEGER) AS n_slots, CAST(sum("
+        + " + ".join([f"CASE WHEN coalesce(CAST({c} AS DOUBLE), med_{c}) <> mu_{c} THEN 1 ELSE 0 END" for c in NUMERIC] + [bucket(c) for c in CATEGORICAL])
+        + ") AS DOUBLE) / count(*) AS mean_set FROM holey, med, st, slots WHERE split IS NOT NULL GROUP BY 1",
+        LEARNED, STATS, COUNTS, SLOTS,
+    ),
     "ml_class_weight": operated_sql(
         "SELECT label, n AS n_rows, round(CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n), 9) AS class_weight"
         " FROM (SELECT is_delayed AS label, count(*) AS n FROM fit GROUP BY 1)",

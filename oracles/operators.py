@@ -318,4 +318,42 @@ ORDERING = {
     "r_hour_rate_clipped": R.arr(R.hist("dep_hour")),
 }
 
-SQL = {**SOURCES, **QUALITY, **FEATURES, **FILTERS, **JOINS, **AGGREGATES, **ORDERING}
+# fixed values: the columns of an operated flight, in order
+FLIGHT_COLUMNS = (
+    "year quarter month day_of_month day_of_week fl_date op_unique_carrier tail_num crs_dep_time dep_delay "
+    "dep_delay_new dep_del15 arr_delay arr_delay_new arr_del15 cancelled cancellation_code diverted "
+    "air_time carrier_delay weather_delay nas_delay security_delay late_aircraft_delay is_delayed "
+    "delay_category day_of_year week_of_year dep_hour is_weekend main_delay_cause is_peak_hour "
+    "airline_name"
+).split()
+
+
+def row_text(columns, *before: str) -> str:
+    return "concat_ws('|', " + ", ".join([*before, *[f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns]]) + ")"
+
+
+def drawn(*before: str) -> str:
+    """Whether a flight is among the ten hundredths that its hash selects."""
+    return f"CAST('0x' || substr(md5({row_text(FLIGHT_COLUMNS, *before)}), 1, 15) AS BIGINT) % 100 < 10"
+
+
+def sampled(*before: str) -> str:
+    return operated_sql(
+        "SELECT year, count(*) AS n_flights, nullif(count(*) FILTER (WHERE drawn), 0) AS n_sampled"
+        f" FROM (SELECT year, {drawn(*before)} AS drawn FROM operated) GROUP BY 1"
+    )
+
+
+PICKED = ("fl_date", "op_unique_carrier", "crs_dep_time", "tail_num", "air_time", "is_delayed")
+
+SAMPLES = {
+    "smp_fraction": sampled("'42'"),
+    "smp_stratified_chunks": sampled("'42'", "CAST(year AS VARCHAR)"),
+    "spl_sample_rows": operated_sql(
+        f"""SELECT is_delayed, count(*) AS n_flights FROM (
+          SELECT is_delayed FROM operated WHERE fl_date BETWEEN DATE '2001-01-01' AND DATE '2001-03-31'
+          ORDER BY md5({row_text(PICKED, "'42'")}), {", ".join(PICKED)} LIMIT 1000) GROUP BY 1"""
+    ),
+}
+
+SQL = {**SAMPLES, **SOURCES, **QUALITY, **FEATURES, **FILTERS, **JOINS, **AGGREGATES, **ORDERING}

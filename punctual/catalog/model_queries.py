@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import lru_cache, reduce
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from punctual.functions.tally import tally
 from punctual.operators import sampling as S
 from punctual.operators import sinks as K
+from punctual.plans.delay_models import boosted_stumps as B
 from punctual.plans.delay_models import evaluation as V
 from punctual.plans.delay_models import explanation as X
 from punctual.plans.delay_models import features as M
@@ -143,18 +143,20 @@ def unseen_vectors(p: Prepared) -> DataFrame:
     """Test rows whose carrier is replaced by one the training split never had."""
     rows = modelling_rows(p.t).where("split = 'test'").withColumn("op_unique_carrier", F.lit("unseen"))
     hot = p.ready.encoder.transform(p.ready.flat(rows))
-    return hot.select(F.aggregate(vector_to_array(f"op_unique_carrier{M.HOT}"), F.lit(0.0), lambda a, x: a + x).alias("n_set")).groupBy(
-        "n_set"
-    ).agg(F.count(F.lit(1)).alias("n_rows"))
+    set_slots = B.set_slots(F.unwrap_udt(F.col(f"op_unique_carrier{M.HOT}")))
+    return hot.groupBy(F.size(set_slots).alias("n_set")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def vector_sizes(p: Prepared) -> DataFrame:
-    values = vector_to_array("features")
+    """Slots of the vectors and how many are not zero, read from their sparse parts."""
+    vector = F.unwrap_udt(F.col("features"))
     parts = [("train", p.train), ("valid", p.valid), ("test", p.test)]
     tagged = reduce(DataFrame.unionByName, [df.withColumn("split", F.lit(name)) for name, df in parts])
-    return tagged.groupBy("split").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.max(F.size(values)).alias("n_slots"),
-        F.avg(F.size(F.filter(values, lambda v: v != 0))).alias("mean_set"),
+    counted = tagged.select(
+        "split", F.coalesce(vector["size"], F.size(vector["values"])).alias("slots"), F.size(B.set_slots(vector)).alias("filled")
+    )
+    return counted.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max("slots").alias("n_slots"), F.avg("filled").alias("mean_set")
     )
 
 

@@ -8,8 +8,20 @@ from pyspark.sql import functions as F
 from punctual.settings import Settings
 
 
-def row_hash(df: DataFrame, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns])
+def row_text(df: DataFrame) -> Column:
+    """All columns as text, a missing value as empty text: the same in every engine."""
+    return F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns])
+
+
+def row_hash(df: DataFrame, seed: int, *salt: Column) -> Column:
+    """MD5 of a seed and the row's text, in hexadecimal: samples can be drawn again outside Spark."""
+    parts = [F.lit(str(seed)), *[F.coalesce(s.cast("string"), F.lit("")) for s in salt], row_text(df)]
+    return F.md5(F.concat_ws("|", *parts).cast("binary"))
+
+
+def hundredth(digest: Column) -> Column:
+    """A number from 0 to 99 from the first 15 of 32 hexadecimal digits."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % 100
 
 
 def chosen_flight(percent: int, seed: int) -> Column:
@@ -20,13 +32,12 @@ def chosen_flight(percent: int, seed: int) -> Column:
 
 def fraction(df: DataFrame, percent: int, seed: int) -> DataFrame:
     """About ``percent`` of the rows, decided per row from its content in the scan stage."""
-    return df.where(F.pmod(row_hash(df, seed), F.lit(100)) < percent)
+    return df.where(hundredth(row_hash(df, seed)) < percent)
 
 
 def stratified(df: DataFrame, stratum: str, percent: int, seed: int) -> DataFrame:
     """The same share of every stratum, with its own hash seed per stratum."""
-    salted = F.xxhash64(F.col(stratum), row_hash(df, seed))
-    return df.where(F.pmod(salted, F.lit(100)) < percent)
+    return df.where(hundredth(row_hash(df, seed, F.col(stratum))) < percent)
 
 
 def first_rows(df: DataFrame, rows: int, *order: str) -> DataFrame:
