@@ -206,6 +206,23 @@ def test_scores_against_dictionaries(documents, spark, monkeypatch):
         assert math.isclose(whole(v), 1.0, rel_tol=1e-9)
 
 
+def test_scores_with_a_third_of_the_ids_missing(documents, monkeypatch):
+    monkeypatch.setattr(katz_backoff, "CHUNK_BYTES", 60_000)
+    holey = documents.withColumn("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")))
+    sizes = katz_backoff.dealt(holey, 12, "doc_id", "text").groupBy("chunk").agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("rows")).collect()
+    longest = documents.agg(F.max(F.octet_length("text"))).first()[0]
+    assert len(sizes) == 12 and max(r["rows"] for r in sizes) < documents.count() / 6
+    assert max(r["n"] for r in sizes) < longest + sum(r["n"] for r in sizes) / 6
+    learned = (-i for i in range(1, 1 << 20) if zlib.crc32(str(-i).encode()) % 7 != 2)
+    plain_rows = [(next(learned) if r["doc_id"] is None else r["doc_id"], r["text"]) for r in holey.collect()]
+    expected, _ = katz(plain_rows)
+    wanted = sorted((t or "", *expected[i]) for i, t in plain_rows)
+    got = katz_backoff.score(holey.withColumn("text_too", F.col("text"))).collect()
+    assert sum(r["doc_id"] is None for r in got) == sum(i < 0 for i, _ in plain_rows)
+    numbers = sorted((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got)
+    assert np.allclose(numbers, sorted(w[1:] for w in wanted), rtol=1e-9)
+
+
 def test_scores_of_odd_rows(odd, none):
     got = katz_backoff.score(odd).collect()
     assert len(got) == len(odd_rows()) and all(r["n_tokens"] >= 1 and math.isfinite(r["score"]) for r in got)
