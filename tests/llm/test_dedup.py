@@ -88,3 +88,11 @@ def test_repeated_rows_of_a_kept_id_leave_one(spark):
     docs = spark.createDataFrame([(5, text), (5, text), (5, text), (9, text), (6, " "), (6, " "), (None, text), (None, text), (7, None), (7, None)], "doc_id bigint, text string")
     got = sorted((str(r["doc_id"]), str(r["text"])) for r in jaccard_partenum.keep_one(docs).collect())
     assert got == sorted([("5", text), ("6", " "), ("6", " "), ("None", text), ("None", text), ("7", "None"), ("7", "None")])
+
+
+def test_keep_one_beside_clashing_columns(spark):
+    text = "a text of some words that is there twice"
+    docs = spark.createDataFrame([(1, text, "x", 1), (2, text, "y", 2), (3, "another text", "z", 3)], "doc_id bigint, text string, _gone0 string, _alone0 int")
+    kept = jaccard_partenum.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
