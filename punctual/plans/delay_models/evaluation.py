@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from punctual.functions.ratios import safe_ratio
 
-SCORE_BINS = 10_000
+#: halvings of a search among the quantiles of the scores, one bin more than there are quantiles
+HALVINGS = 10
 
 
 def confusion(scored: DataFrame, *keys: str) -> DataFrame:
@@ -33,17 +34,33 @@ def rates(table: DataFrame) -> DataFrame:
     )
 
 
+def score_bins(each: DataFrame, *keys: str) -> DataFrame:
+    """Distinct scores with a bin between quantiles of a key's own scores, so that bins are alike in size wherever scores lie.
+
+    The quantiles are those of a mergeable sketch: one row per key, which the scores are searched in by halving.
+    """
+    count = 2**HALVINGS
+    quantiles = F.percentile_approx("score", [i / count for i in range(1, count)]).alias("_edges")
+    edges = each.groupBy(*keys).agg(quantiles)
+    joined = each.join(edges, list(keys)) if keys else each.join(F.broadcast(edges))  # one row
+    steps = F.array(*[F.lit(2**i) for i in reversed(range(HALVINGS))])
+    reach = lambda at, step: F.when(F.get("_edges", at + step - 1) <= F.col("score"), at + step).otherwise(at)
+    return joined.withColumn("bin", F.aggregate(steps, F.lit(0), reach)).drop("_edges")
+
+
 def roc_auc(scored: DataFrame, *keys: str) -> DataFrame:
     """Exact area with tied scores counted half.
 
     Rows collapse to one per distinct score. Negatives below a score are those of
-    lower score bins (a running sum over at most ``SCORE_BINS`` rows per key) plus
-    those below it inside its own bin, so no task sorts all scores.
+    lower score bins (a running sum over at most 2 ** ``HALVINGS`` rows per key) plus
+    those below it inside its own bin, so no task sorts all scores. Bins are ordered
+    like scores, so the area does not depend on where the sketch puts their edges.
     """
     parts = list(keys)
     each = scored.groupBy(*parts, "score").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
-    ).withColumn("bin", F.floor(F.col("score") * SCORE_BINS))
+    )
+    each = score_bins(each, *parts)
     bins = each.groupBy(*parts, "bin").agg(F.sum("neg").alias("bin_neg"))
     lower = Window.partitionBy(*parts).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select(*parts, "bin", F.coalesce(F.sum("bin_neg").over(lower), F.lit(0)).alias("lower_neg"))

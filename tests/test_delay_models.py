@@ -25,6 +25,20 @@ def test_area_with_ties(spark):
     assert V.roc_auc(df).first().roc_auc == pytest.approx(brute, abs=1e-12)
 
 
+def test_area_and_bins_of_crowded_scores(spark):
+    rng = np.random.default_rng(8)
+    score = np.r_[0.4 + rng.random(6000) / 1000, 0.9]
+    label = (rng.random(6001) < 0.3 + 300 * (score - 0.4)).astype(int)
+    rows = [("m", int(a), float(b)) for a, b in zip(label, score)] + [("n", 1, 0.5), ("n", 0, 0.5), ("n", 0, 0.1)]
+    df = spark.createDataFrame(rows, "model string, label int, score double")
+    pos, neg = score[label == 1], score[label == 0]
+    brute = np.mean((pos[:, None] > neg[None, :]) + 0.5 * (pos[:, None] == neg[None, :]))
+    got = {r.model: r.roc_auc for r in V.roc_auc(df, "model").collect()}
+    assert got == {"m": pytest.approx(brute, abs=1e-12), "n": pytest.approx(0.75)}
+    bins = V.score_bins(df.where("model = 'm'").select("model", "score").distinct(), "model").groupBy("bin").count().toPandas()
+    assert len(bins) > 1000 and bins["count"].max() < 20
+
+
 def test_rates_without_positives(spark):
     df = spark.createDataFrame([(0, 0), (1, 0)], "label int, prediction int")
     row = V.rates(V.confusion(df)).first()
