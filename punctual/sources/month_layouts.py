@@ -97,11 +97,18 @@ def require_manifest(spark: SparkSession, folder: str, months: list[str], suffix
     return [path for path, size in list_files(spark, folder, suffix) if size and month_of(path) in wanted]
 
 
-def read_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(source_file, header) of files that have a first line; a task opens one file and ends after that line."""
+def unsplit(spark: SparkSession) -> SparkSession:
+    """A session that reads a whole file as one split, so its first row is the file's first line."""
     own = spark.newSession()
-    # a whole file is one split, so its first row is the header
     own.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 50))
+    # otherwise a file's bytes are shared out over all cores, in splits of 4 MB and more
+    own.conf.set("spark.sql.files.minPartitionNum", "1")
+    return own
+
+
+def read_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(source_file, header) of files that have a first line; a task opens one file and ends after that line."""
+    own = unsplit(spark)
 
     def first_line(path: str) -> DataFrame:
         return own.read.text(path).select(F.lit(path).alias("source_file"), F.col("value").alias("header")).limit(1)

@@ -149,3 +149,10 @@ def test_from_month_files_to_the_reports(spark, tables, tmp_path):
     shutil.rmtree(tmp_path / "months" / "b")
     with pytest.raises(FileNotFoundError, match="1998-01 missing"):
         M.read_expected(spark, str(tmp_path / "months"), [m for m in months if m in there], COLUMNS, REQUIRED_COLUMNS)
+
+
+def test_a_large_file_is_one_split(spark, tmp_path):
+    """Rows of several splits come in any order on a cluster, and a row of data would be taken for the header."""
+    path = write(tmp_path, "2019/2019-01.csv", "YEAR,NOTE", *[f"2019,{'x' * 1000}"] * 12_000)
+    assert M.unsplit(spark).read.text(path).rdd.getNumPartitions() == 1
+    assert collected(M.read_headers(spark, [path]), "source_file", "header") == [(path, "YEAR,NOTE")]
