@@ -22,14 +22,17 @@ from punctual.plans import dashboards as D
 from punctual.plans import explore as E
 from punctual.plans import history as H
 from punctual.plans import reports as R
-from punctual.session import run_folder
+from punctual.session import cut_lineage, run_folder
 from punctual.sources import carriers, month_layouts, monthly_files
 from punctual.sources.schema import CAUSES, FLIGHT_COLUMNS, TEXT_FILLS, ZERO_FLAGS
 
 
 def with_copies(t) -> DataFrame:
-    """Scheduled flights plus a second copy of those without a tail number."""
-    flights = t.scheduled(places=True).drop("airline_name")
+    """Scheduled flights plus a second copy of those without a tail number.
+
+    Copies are found in several passes, so the joined flights are written once.
+    """
+    flights = cut_lineage(t.scheduled(places=True).drop("airline_name"))
     return flights.unionByName(flights.where("tail_num IS NULL"))
 
 

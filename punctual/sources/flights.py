@@ -52,13 +52,14 @@ def _dimension(spark: SparkSession, folder: str, side: str) -> DataFrame:
     return nation.withColumnRenamed("nk", f"{side}_nk")
 
 
-def _with_places(spark: SparkSession, folder: str, keyed: DataFrame) -> DataFrame:
+def _with_places(spark: SparkSession, folder: str, line: DataFrame) -> DataFrame:
     orders = _table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     customers = _table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("dest_nk"))
     suppliers = _table(spark, folder, "supplier").select("s_suppkey", F.col("s_nationkey").alias("origin_nk"))
+    # an order's customer first: flights cross a shuffle once, by order, and orders by customer
+    places = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "dest_nk")
     return (
-        keyed.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
+        line.join(places, F.col("l_orderkey") == F.col("o_orderkey"), "left")
         .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"), "left")
         .join(_dimension(spark, folder, "origin"), "origin_nk", "left")
         .join(_dimension(spark, folder, "dest"), "dest_nk", "left")
@@ -86,10 +87,18 @@ def scheduled(
     if end:
         line = line.where(F.col("l_shipdate") < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz"))
 
+    # stored columns are joined, few and narrow; all others are derived after that
+    stored = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    line = line.select(*stored, "l_shipdate")
+    sides = ()
+    if places:
+        line = _with_places(spark, folder, line)
+        sides = tuple(c for side in ("origin", "dest") for c in (f"{side}_nk", f"{side}_city_name", f"{side}_state_abr"))
+
     hour = "CAST(t DIV 60 AS INT)"
     keyed = (
         line.selectExpr(
-            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+            *stored, *sides,
             "CAST(l_shipdate AS DATE) AS fl_date",
             "l_orderkey * 31 + l_partkey * 17 + l_linenumber * 7919 + l_suppkey * 101 AS h",
             "(l_orderkey * 13 + l_partkey * 7 + l_linenumber * 977) % 1441 AS t",
@@ -110,7 +119,7 @@ def scheduled(
                     ELSE 121 + (h % 25) * 40 END AS DOUBLE) AS dep_delay""",
         )
         .selectExpr(
-            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+            *stored, *sides,
             "fl_date", "month", "day_of_week", "h", "t",
             # one generated row per flight: a filter on a delay is then tested on its
             # value instead of repeating the whole formula inside the scan filter
@@ -120,8 +129,6 @@ def scheduled(
         )
         .selectExpr("*", "IF(arr_delay >= 15, CAST(h % 7 AS INT), 6) AS cause")
     )
-    if places:
-        keyed = _with_places(spark, folder, keyed)
 
     def cause(position: int) -> str:
         tie = "WHEN cause = 5 THEN 7D" if position in (0, 4) else ""

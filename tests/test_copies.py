@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from punctual.catalog import operator_queries as O
 from punctual.operators import copies as D
 from punctual.operators import quality as Q
 from punctual.plans import reports as R
@@ -91,3 +92,9 @@ def test_no_flights(spark, tables):
     none = tables.complete(places=True).where("year < 0")
     assert R.kpi_overview(none).first().total_operated_flights == 0 and R.distance_severity(none).collect() == []
     assert FIXTURE is tables.s
+
+
+def test_flights_are_joined_before_they_are_derived_and_once_for_copies(tables, spark):
+    joined = plan(tables.scheduled(places=True))
+    assert joined.index("% 1441") < joined.index("Join")
+    assert "Join" not in plan(O.with_copies(tables))
