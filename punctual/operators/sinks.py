@@ -18,6 +18,8 @@ CALENDAR_KEYS = (
 )
 AIRPORT_KEYS = ("origin", "origin_city_name", "is_delayed", "dep_delay")
 ROUTE_KEYS = ("origin_city_name", "dest_city_name", "route", "is_delayed")
+#: What the reports in ``EXPORTS`` read of a flight.
+REPORT_COLUMNS = tuple(dict.fromkeys((*CALENDAR_KEYS, *AIRPORT_KEYS, *ROUTE_KEYS, "arr_delay", "main_delay_cause", "distance")))
 
 # fixed values: exported report files
 EXPORTS: dict[str, tuple[str, Callable]] = {
@@ -118,12 +120,15 @@ def export_reports(
 ) -> DataFrame:
     """Every report as one CSV, and a manifest of rows per report.
 
-    Reports of a family read one compact table. Only keys that repeat are counted
+    Flights are joined once: the columns that reports read (all columns for reports that are
+    not in ``EXPORTS``) are written and read again by each. Reports of a family read one compact table. Only keys that repeat are counted
     together (a measure's minutes beside one key, never two measures or distances);
     reports over several measures pass over their own few columns. A report is a
     handful of rows, so a single output file is no bottleneck.
     """
     spark = flights.sparkSession
+    known = all(EXPORTS.get(name) == export for name, export in exports.items())
+    flights = cut_lineage(flights.select(*REPORT_COLUMNS) if known else flights)
     late = flights.where("is_delayed = 1")
     inputs = {
         "calendar": cut_lineage(compact(flights, *CALENDAR_KEYS)),

@@ -66,6 +66,24 @@ def test_exports_equal_the_direct_reports(spark, tables, tmp_path):
         assert stored.exceptAll(report).isEmpty(), name
 
 
+def test_exports_join_the_flights_once(spark, tables, tmp_path):
+    plans = []
+
+    def report(rows, s):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return rows.groupBy("tail_num").count()
+
+    flights = tables.complete(places=True)
+    assert "Join" in flights._jdf.queryExecution().optimizedPlan().toString()
+    own = {f"own_{source}": (source, lambda d, s: report(d, s) if "tail_num" in d.columns else d.limit(1)) for source in ("flights", "scheduled")}
+    manifest = K.export_reports(flights, tables.scheduled(), FIXTURE, str(tmp_path / "own"), own)
+    assert "Join" not in plans[0] and manifest.count() == 2
+    late = [(n, e) for n, e in K.EXPORTS.items() if e[0] == "departures"]
+    known = {n: (e[0], lambda d, s, f=e[1]: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or f(d, s)) for n, e in late}
+    K.export_reports(flights, tables.scheduled(), FIXTURE, str(tmp_path / "late"), known)
+    assert "Join" not in plans[-1]
+
+
 def test_arriving_files(spark, tables, tmp_path):
     flights = tables.scheduled(places=True).drop("airline_name")
     months, table, progress = (str(tmp_path / n) for n in ("months", "table", "progress"))
