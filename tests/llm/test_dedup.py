@@ -42,6 +42,32 @@ def test_components_of_chains(spark, n, percent):
     assert got == components([(r[0], r[1]) for r in data], n, percent)
 
 
+def test_pairs_of_many_shared_buckets_are_met_about_once(spark, monkeypatch):
+    """Long texts too far from each other to link share many buckets; a few link."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(1500)]
+    texts = []
+    for i in range(24):
+        copy = list(base)
+        for at in rng.choice(1500, 30 if i % 6 else 10, replace=False):
+            copy[at] = f"x{i}y{at}"
+        texts.append((" ".join(copy), "en", "a"))
+    counts, met = [], jaccard_partenum.met
+
+    def counted(*given):
+        pairs = met(*given)
+        counts.append((pairs.count(), pairs.select("a", "b").distinct().count()))
+        return pairs
+
+    monkeypatch.setattr(jaccard_partenum, "met", counted)
+    data = rows(texts)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_partenum.components(spark.createDataFrame(data, SCHEMA), 5, 80).collect()}
+    expected = components([(r[0], r[1]) for r in data], 5, 80)
+    assert got == {i: c for i, (_, c) in expected.items()} and 2 < len(set(got.values())) < 24
+    met_rows, pairs = (sum(c[k] for c in counts) for k in (0, 1))
+    assert pairs > 50 and met_rows < 3 * pairs
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_linked_sets_share_a_signature(percent):
     rng = np.random.default_rng(1)

@@ -7,7 +7,9 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from plain import WORD
+from pyspark import cloudpickle
 
+from punctual.llm import words
 from punctual.llm.packing import planes, unplanes
 from punctual.llm.words import pieces, split
 
@@ -50,3 +52,9 @@ def test_separator_table():
 
     w = split(data, edges, table(b"-!"))
     assert [data[s:e].tobytes().decode() for s, e in zip(w.start, w.end)] == re.split("[-!]", "ab-c!d")
+
+
+def test_tasks_do_not_carry_what_the_driver_worked_out():
+    words.powers(words.STEP, 1 << 20)
+    assert len(cloudpickle.dumps(words.span_hashes)) < 100_000
+    assert len(words.powers(words.STEP, 1 << 20)) == 1 << 20
