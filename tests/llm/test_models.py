@@ -253,6 +253,17 @@ def test_leaks_of_odd_rows_and_paraphrases(spark, none):
     assert latent_leaks.keep_clean(docs, bench.where("false")).count() == docs.count()
 
 
+def test_folded_texts_keep_their_words_and_single_blanks_only_where_needed():
+    texts = ["A  b\tC", "x\x1cy \x1fZ", "É\xa0ß\u2003q", None, "", " (A.) "]
+    got = latent_leaks.folded(pa.array(texts, pa.large_string())).to_pylist()
+    assert got[0] == "a  b\tc" and got[3] is None
+    for t, f in zip(texts, got):
+        data = np.frombuffer((f or "").encode(), np.uint8)
+        first, _, start = latent_leaks.texts_hashes(data, np.array([0, len(data)]))
+        assert first[-1] == len(start) == len(latent_leaks.words_of(t or ""))
+        assert (latent_leaks.texts_hashes(data, np.array([0, len(data)]))[1] == latent_leaks.item_hashes(latent_leaks.words_of(t or ""))).all()
+
+
 def test_common_subsequence():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
