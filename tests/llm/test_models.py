@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import os
 import zlib
 from itertools import product
 
@@ -192,6 +193,31 @@ def test_times_invert_the_integrated_schedule(spark, knots):
     assert np.allclose([demand(t) / demand(1) for t in got], shares, atol=1e-9)
 
 
+def test_crf_is_learned_outside_the_driver(documents, monkeypatch):
+    plain, driver, here = language_crf.learn, os.getpid(), []
+
+    def watched(texts, labels, languages, lexicon):
+        if os.getpid() == driver:
+            here.append(len(texts))
+        return plain(texts, labels, languages, lexicon)
+
+    monkeypatch.setattr(language_crf, "learn", watched)
+    field = language_crf.fit(documents)
+    assert not any(here)
+    assert field.grams.any() and field.affixes.any() and field.trust[0] != 0.5 and not np.array_equal(field.moves, np.eye(len(field.languages)))
+
+
+def test_crf_learns_from_rows_in_their_order(spark):
+    rows = [(f"the house number {i} stands", "en") if i % 2 else (f"das haus nummer {i} steht", "de") for i in range(60)]
+    lexicon = np.random.default_rng(5).standard_normal((1 << 10, 2)).astype(np.float32)
+    expected = language_crf.learn([t for t, _ in rows], np.array([int(x == "en") for _, x in rows]), ("de", "en"), lexicon)
+    got = language_crf.learn_in_task(spark.createDataFrame(rows, "text string, lang string").coalesce(1), ("de", "en"), lexicon)
+    for name in ("grams", "affixes", "trust", "moves"):
+        assert np.allclose(getattr(got, name), getattr(expected, name), rtol=1e-4, atol=1e-6)
+    untrained = language_crf.learn_in_task(spark.createDataFrame([], "text string, lang string"), ("de", "en"), lexicon)
+    assert not untrained.grams.any() and untrained.lexicon is lexicon
+
+
 def test_scores_against_dictionaries(documents, spark, monkeypatch):
     monkeypatch.setattr(katz_backoff, "CHUNK_BYTES", 60_000)
     monkeypatch.setattr(katz_backoff, "BLOCK_BYTES", 100_000)
