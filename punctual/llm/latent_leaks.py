@@ -28,10 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punctual.llm.words import BLANK, keep_batches, map_batches, pieces, runs, span_hashes, split, table
+from punctual.llm.words import LOWER, keep_batches, map_batches, pieces, raw, runs, span_hashes, split, table
 from punctual.session import cut_lineage
 
 FEATURES, RANK, LEAD, EXTRA, PASSES = 1 << 14, 128, 8, 8, 2
@@ -40,6 +41,8 @@ NEAR, SAME, ALIKE, ANSWER, SHORT, COMMON, FREQUENT, LEADS = 0.6, 0.8, 0.6, 0.8,
 BENCHMARK_WORDS = 1 << 22
 BLOCK = 1 << 11
 PART = 1 << 14
+#: Products of half passages that are summed in one row.
+SUMMED = 64
 #: Bytes of text hashed at once: the arrays beside them stay in a core's cache.
 CACHED = 1 << 18
 U64 = np.uint64
@@ -100,31 +103,68 @@ def items_of(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[Items,
 
 
 MARKS = ".,;:!?()[]{}\"'*#$%&|<>"
+MARKS_AT_ONCE = 16
 #: What ``str.split`` takes for blanks of ASCII besides ``BLANK``.
 RARE_BLANKS = "\x1c\x1d\x1e\x1f"
-BARE = ~(BLANK | table(MARKS.encode()))
+MARK = table(MARKS.encode())
+#: Bytes of which a text is lowered by Python: all but ASCII and what begins with ``LATIN``, whose letters lie 32 apart.
+LATIN = 0xC3
+HARD = table(RARE_BLANKS.encode() + bytes(b for b in range(0xC0, 0x100) if b != LATIN))
+UPPER = table(bytes(b for b in range(0x80, 0x9F) if b != 0x97))
 
 
 def folded(texts: pa.Array) -> pa.Array:
     """The texts in lower case, only ``BLANK`` bytes between words: the words of ``words_of`` with the marks at their ends."""
-    return pa.array([None if t is None else t.lower() if t.isascii() and not any(c in t for c in RARE_BLANKS) else " ".join(t.lower().split()) for t in texts.to_pylist()], pa.large_string())
+    data, edges = raw(texts)
+    low = LOWER[data]
+    after = np.flatnonzero(data[:-1] == LATIN) + 1
+    low[after[UPPER[data[after]]]] += 32
+    hard = np.unique(np.searchsorted(edges, np.flatnonzero(HARD[data]), "right") - 1).tolist()
+    if hard:
+        parts, done = [], 0
+        sizes = np.diff(edges)
+        for d in hard:
+            line = " ".join(data[edges[d] : edges[d + 1]].tobytes().decode().lower().split()).encode()
+            parts += [low[done : edges[d]].tobytes(), line]
+            sizes[d], done = len(line), edges[d + 1]
+        low, edges = np.frombuffer(b"".join([*parts, low[done:].tobytes()]), np.uint8), np.r_[0, np.cumsum(sizes)]
+    out = pa.Array.from_buffers(pa.large_string(), len(edges) - 1, [None, pa.py_buffer(np.ascontiguousarray(edges, np.int64)), pa.py_buffer(low)])
+    return pc.if_else(texts.is_valid(), out, pa.scalar(None, pa.large_string())) if texts.null_count else out
+
+
+def stripped(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words without the marks at their ends; those of marks alone are empty."""
+    start, end = start.copy(), end.copy()
+    for side, step in ((start, 1), (end, -1)):
+        at = np.flatnonzero(MARK[data[side - (step < 0)]])
+        for _ in range(MARKS_AT_ONCE):
+            side[at] += step
+            at = at[start[at] < end[at]]
+            at = at[MARK[data[side[at] - (step < 0)]]]
+            if not len(at):
+                break
+        for i in at.tolist():
+            # long lines of marks
+            bare = np.flatnonzero(~MARK[data[start[i] : end[i]]])
+            side[i] = (end[i] if step > 0 else start[i]) if not len(bare) else start[i] + bare[0] if step > 0 else start[i] + bare[-1] + 1
+    return start, end
 
 
 def texts_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word of each text, word hashes, byte positions of words) of folded texts; words are those of ``words_of``."""
     w = split(data, edges)
-    good = BARE[data]
-    bare, upto = np.flatnonzero(good), np.r_[0, np.cumsum(good)]
-    low, high = upto[w.start], upto[w.end]
-    keep = low < high
-    start, end = bare[low[keep]], bare[high[keep] - 1] + 1
+    start, end = stripped(data, w.start, w.end)
+    keep = start < end
+    if keep.all():
+        return w.first, span_hashes(data, start, end), start
+    start, end = start[keep], end[keep]
     return np.r_[0, np.cumsum(keep)][w.first], span_hashes(data, start, end), start
 
 
-def texts_slots(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word of each text, features, byte positions of words)."""
-    first, h, start = texts_hashes(data, edges)
-    return first, slots_of(h), start
+def texts_slots(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word of each text, features)."""
+    first, h, _ = texts_hashes(data, edges)
+    return first, slots_of(h)
 
 
 def item_hashes(words: list[str]) -> np.ndarray:
@@ -138,7 +178,7 @@ def laid_out(docs: DataFrame, text_col: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, edges in pieces(folded(batch.column(0)), CACHED):
-                first, slots, _ = texts_slots(data, edges)
+                first, slots = texts_slots(data, edges)
                 grid, rows = halves(first, slots)
                 packed = pa.Array.from_buffers(pa.binary(), len(rows) - 1, [None, pa.py_buffer((rows * HALF * 2).astype(np.int32)), pa.py_buffer(grid[: rows[-1]].astype("<i2"))])
                 yield pa.RecordBatch.from_arrays([packed], names=["packed"])
@@ -187,13 +227,13 @@ def add_up(part: pa.Table, kind: str) -> pa.Table:
 
 
 def products(grid: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Half passages times a (features + 1) x k basis whose last row is zero; a repeated word counts each time."""
+    """Sums of the rows of a basis that each row of a grid names; half passages: -1 is the last of features + 1 rows, zero, and a repeated word counts each time."""
     out = np.empty((len(grid), basis.shape[1]), np.float32)
     for lo in range(0, len(grid), 512):
         part = grid[lo : lo + 512]
         total = np.take(basis, part[:, 0], axis=0, mode="wrap")
         more = np.empty_like(total)
-        for j in range(1, HALF):
+        for j in range(1, part.shape[1]):
             np.take(basis, part[:, j], axis=0, out=more, mode="wrap")
             total += more
         out[lo : lo + 512] = total
@@ -224,20 +264,28 @@ def add_products(total: np.ndarray, grid: np.ndarray, weighted: np.ndarray) -> N
     if not len(begin):
         return
     feature, count = feature[order][begin], np.diff(np.r_[begin, len(order)])
-    # each half's product goes to all of its features: ``HALF`` equal ones are summed in one row, then what is over
-    many = count // HALF
-    full = products(half[np.repeat(begin, many * HALF) + spread(many * HALF)].reshape(-1, HALF), y)
-    if len(full):
-        some = many > 0
-        total[feature[some]] += np.add.reduceat(full, (np.cumsum(many) - many)[some], axis=0)
-    over = count - many * HALF
-    order = np.argsort(-over, kind="stable")
-    feature, over, begin = feature[order], over[order], (begin + many * HALF)[order]
-    rest = np.zeros((len(over), y.shape[1]), np.float32)
-    for j in range(HALF - 1):
-        n = int((over > j).sum())
-        rest[:n] += y[half[begin[:n] + j]]
-    total[feature] += rest
+    # each half's product goes to all of its features: ``SUMMED`` of a feature are summed in one row, then what is over by powers of two
+    sums = np.zeros((len(feature), y.shape[1]), np.float32)
+    some = np.flatnonzero(count >= SUMMED)
+    many = count[some] // SUMMED
+    if len(some):
+        full = products(half[np.repeat(begin[some], many * SUMMED) + spread(many * SUMMED)].reshape(-1, SUMMED), y)
+        sums[some] = np.add.reduceat(full, np.cumsum(many) - many, axis=0)
+    begin = begin + count // SUMMED * SUMMED
+    size = SUMMED // 2
+    while size:
+        some = np.flatnonzero(count & size)
+        sums[some] += products(half[begin[some, None] + np.arange(size)], y)
+        begin[some] += size
+        size //= 2
+    total[feature] += sums
+
+
+def add_squares(total: np.ndarray, grid: np.ndarray, weighted: np.ndarray) -> None:
+    """Add basis^T (A^T A) basis of half passages to ``total``."""
+    for lo in range(0, len(grid), BLOCK):
+        y = products(grid[lo : lo + BLOCK], weighted)
+        total += y.T @ y
 
 
 def latent_space(packed: DataFrame, grid: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -267,10 +315,28 @@ def latent_space(packed: DataFrame, grid: np.ndarray, idf: np.ndarray) -> np.nda
             out[r["block"]] += np.frombuffer(r["packed"], "<f4")
         return out.reshape(FEATURES, columns)
 
+    def squares(basis: np.ndarray) -> np.ndarray:
+        """basis^T (A^T A) basis, as the products of the half passages with themselves."""
+        weighted = np.vstack([basis * idf[:, None], np.zeros((1, columns))]).astype(np.float32)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((columns, columns))
+            for batch in batches:
+                for part in unpacked(batch.column(0)):
+                    add_squares(total, part, weighted)
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.astype("<f8").tobytes()], pa.binary())], names=["block", "packed"])
+
+        got = rows.mapInArrow(work, "block int, packed binary").groupBy("block").applyInArrow(lambda part: add_up(part, "<f8"), "block int, packed binary").collect()
+        out = np.zeros((columns, columns))
+        add_squares(out, grid, weighted)
+        for r in got:
+            out += np.frombuffer(r["packed"], "<f8").reshape(columns, columns)
+        return out
+
     q = np.linalg.qr(random_basis(columns))[0]
     for _ in range(PASSES):
         q = np.linalg.qr(gram(q))[0]
-    small = (q.T @ gram(q)).astype(float)
+    small = squares(q)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(-values)
     order = order[values[order] > 1e-6 * max(values.max(), 1e-12)]
@@ -293,6 +359,30 @@ def common(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
+class Sought:
+    """An item's words by hash, with a bit for each place where one stands."""
+
+    def __init__(self, h: np.ndarray):
+        self.size = len(h)
+        self.keys, of_word, self.times = np.unique(h, return_inverse=True, return_counts=True)
+        self.bits = [0] * len(self.keys)
+        for i, key in enumerate(of_word.tolist()):
+            self.bits[key] |= 1 << i
+
+    def common(self, near: np.ndarray, least: float = 0) -> int:
+        """Length of the longest subsequence in common with a text's words, 0 where their numbers tell that it is below ``least``."""
+        at = np.minimum(np.searchsorted(self.keys, near), len(self.keys) - 1)
+        # words that the item does not have leave the row of bits as it is
+        at = at[self.keys[at] == near]
+        if len(at) < least or np.minimum(np.bincount(at, minlength=len(self.keys)), self.times).sum() < least:
+            return 0
+        row = full = (1 << self.size) - 1
+        for key in at.tolist():
+            hit = row & self.bits[key]
+            row = ((row + hit) | (row - hit)) & full
+        return self.size - row.bit_count()
+
+
 @dataclass(frozen=True)
 class Lookup:
     """Which items each of their lead words stands in, and how many hits a window must have.
@@ -390,6 +480,9 @@ class Index:
     needed: np.ndarray
     reach: int
     lookup: Lookup
+    hashes: list[np.ndarray]
+    sought: list[Sought]
+    answers: list[Sought]
 
 
 def index(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> Index | None:
@@ -399,12 +492,12 @@ def index(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
     packed = laid_out(docs, text_col)
     counts, n = document_frequencies(packed)
     idf = np.maximum(0, np.log((n + 1) / (counts + 1)) - COMMON).astype(np.float32)
-    grids = [halves(*texts_slots(data, edges)[:2]) for _, _, data, edges in pieces(folded(pa.array(texts, pa.large_string())))]
+    grids = [halves(*texts_slots(data, edges)) for _, _, data, edges in pieces(folded(pa.array(texts, pa.large_string())))]
     space = latent_space(packed, np.concatenate([grid[: rows[-1]] for grid, rows in grids]), idf)
     weighted = np.vstack([space * idf[:, None], np.zeros((1, RANK), np.float32)]).astype(np.float32)
     vectors, owner = [], []
     for lo, _, data, edges in pieces(folded(pa.array(texts, pa.large_string()))):
-        first, slots, _ = texts_slots(data, edges)
+        first, slots = texts_slots(data, edges)
         grid, rows = halves(first, slots)
         # passages that do not overlap, and the item as a whole
         whose, nr = np.repeat(np.arange(len(rows) - 1), np.diff(rows)), np.arange(rows[-1]) - np.repeat(rows[:-1], np.diff(rows))
@@ -422,7 +515,11 @@ def index(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
         slots = slots_of(item_hashes(words))
         rare[i, slots[idf[slots] > 0]] = True
         needed[i] = np.ceil(ALIKE * len(words)) - (len(words) - (idf[slots] > 0).sum())
-    return Index(items, weighted, v.T.copy(), np.concatenate(owner), rare, needed, max(len(w) for w in items.words) // HALF + 2, lookup_of(items, counts, n))
+    hashes = [item_hashes(words) for words in items.words]
+    return Index(
+        items, weighted, v.T.copy(), np.concatenate(owner), rare, needed, max(len(w) for w in items.words) // HALF + 2, lookup_of(items, counts, n),
+        hashes, [Sought(h) for h in hashes], [Sought(h[at:]) for h, at in zip(hashes, items.answer, strict=True)],
+    )
 
 
 def hits(texts: pa.Array, ix: Index | None) -> Iterator[tuple[int, int, float, int, int]]:
@@ -430,7 +527,7 @@ def hits(texts: pa.Array, ix: Index | None) -> Iterator[tuple[int, int, float, i
     if ix is None:
         return
     for lo, _, data, edges in pieces(folded(texts), CACHED):
-        first, h, start = texts_hashes(data, edges)
+        first, h, _ = texts_hashes(data, edges)
         grid, rows = halves(first, slots_of(h))
         latent = passages(grid, rows, ix.weighted)
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
@@ -449,28 +546,27 @@ def hits(texts: pa.Array, ix: Index | None) -> Iterator[tuple[int, int, float, i
         for place in zip(d.tolist(), item.tolist(), r.tolist(), near.tolist(), strict=True):
             found.setdefault(place[:2], []).append(place[2:])
         for (d, item), places in sorted(found.items()):
-            words, best = ix.items.words[item], (-1, 0, [])
-            reach, order = len(words) + HALF, sorted({p for p, _ in places})
+            size, sought, best = len(ix.hashes[item]), ix.sought[item], (-1, 0, h[:0])
+            reach, order = size + HALF, sorted({p for p, _ in places})
 
-            def around(low: int, high: int) -> tuple[int, list[str]]:
+            def around(low: int, high: int) -> tuple[int, np.ndarray]:
                 # the words around the passages, wide enough for the whole item on either side
                 a, b = max(first[d], first[d] + (low - rows[d]) * HALF - reach), min(first[d + 1], first[d] + (high - rows[d]) * HALF + PASSAGE + reach)
-                end = edges[d + 1] if b == first[d + 1] else start[b]
-                return a, words_of(data[start[a] : end].tobytes().decode("utf-8", "replace"))
+                return a, h[a:b]
 
             # windows that overlap have no more in common with the item than what they cover together
             near_by = np.split(order, 1 + np.flatnonzero(np.diff(order) * HALF > 2 * reach + PASSAGE))
-            least = len(words) if len(words) < SHORT else ALIKE * len(words)
-            order = [row for run in near_by if len(run) < 2 or common(words, around(run[0], run[-1])[1]) >= least for row in run.tolist()]
+            least = size if size < SHORT else ALIKE * size
+            order = [row for run in near_by if len(run) < 2 or sought.common(around(run[0], run[-1])[1], least) >= least for row in run.tolist()]
             for row in order:
                 a, near = around(row, row)
-                best = max(best, (common(words, near), -int(a - first[d]), near), key=lambda x: x[:2])
+                best = max(best, (sought.common(near, least), -int(a - first[d]), near), key=lambda x: x[:2])
             n, at_word, near = best
-            answer = words[ix.items.answer[item] :]
-            if len(words) < SHORT:
-                leak = any(near[i : i + len(words)] == words for i in range(len(near)))
+            if size < SHORT:
+                leak = n >= least and any(np.array_equal(near[i : i + size], ix.hashes[item]) for i in range(len(near) - size + 1))
             else:
-                leak = n >= SAME * len(words) or n >= ALIKE * len(words) and common(answer, near) >= ANSWER * len(answer)
+                answer = ix.answers[item]
+                leak = n >= SAME * size or n >= least and answer.common(near) >= ANSWER * answer.size
             if leak:
                 yield lo + d, item, max(c for _, c in places), n, -at_word
 

@@ -345,6 +345,42 @@ def test_leaks_of_short_items_inside_long_documents(spark):
     assert got == expected
 
 
+def test_sums_over_half_passages_against_dense_products():
+    rng = np.random.default_rng(8)
+    grid = np.where(rng.random((5000, 16)) < 0.1, -1, rng.integers(0, 70, (5000, 16)) ** 2)
+    basis = np.vstack([latent_leaks.random_basis(6), np.zeros((1, 6), np.float32)])
+    dense = np.zeros((5000, latent_leaks.FEATURES), np.float32)
+    np.add.at(dense, (np.repeat(np.arange(5000), 16)[grid.ravel() >= 0], grid[grid >= 0]), 1)
+    y = dense.astype(float) @ basis[:-1]
+    total, square = np.zeros((latent_leaks.FEATURES, 6)), np.zeros((6, 6))
+    latent_leaks.add_products(total, grid, basis)
+    latent_leaks.add_squares(square, grid, basis)
+    assert np.allclose(total, dense.T @ y, rtol=1e-4, atol=1e-1) and np.allclose(square, y.T @ y, rtol=1e-4, atol=1e-1)
+    assert np.allclose(square, basis[:-1].T @ total, rtol=1e-4, atol=1)
+
+
+def test_words_by_hash_have_the_subsequences_of_words():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        a, b = ([f"w{x}" for x in rng.integers(0, top, rng.integers(1, most))] for top, most in ((6, 14), (9, 40)))
+        sought, near, exact = latent_leaks.Sought(latent_leaks.item_hashes(a)), latent_leaks.item_hashes(b), latent_leaks.common(a, b)
+        assert sought.common(near) == exact
+        for least in (1, 0.6 * len(a), len(a)):
+            assert sought.common(near, least) == exact if exact >= least else sought.common(near, least) < least
+
+
+def test_folded_letters_and_stripped_marks():
+    texts = ["ÀÖ×ØÞß÷ Ÿx", "AÉ Z", "Σας ΟΔΟΣ\u00a0B", None, "İ\u2003Q", "É", "", "a" + "#" * 100 + " " + "#" * 90 + " " + "!" * 70 + "b?" + "." * 80, "*"]
+    got = latent_leaks.folded(pa.array(texts, pa.large_string())).to_pylist()
+    for t, f in zip(texts, got):
+        assert (f is None) == (t is None) and (f or "").split() == (t or "").lower().split()
+        data = np.frombuffer((f or "").encode(), np.uint8)
+        first, h, start = latent_leaks.texts_hashes(data, np.array([0, len(data)]))
+        words = latent_leaks.words_of(t or "")
+        assert first[-1] == len(h) == len(words) and (h == latent_leaks.item_hashes(words)).all()
+        assert all(data[i:].tobytes().decode().startswith(w) for i, w in zip(start.tolist(), words))
+
+
 def test_latent_space_is_fitted_on_all_documents(spark):
     """The sums over tasks are (A^T A) basis of every half passage, and words of each document get directions."""
     rng = np.random.default_rng(5)
