@@ -42,6 +42,17 @@ def test_components_of_chains(spark, n, percent):
     assert got == components([(r[0], r[1]) for r in data], n, percent)
 
 
+def test_sets_that_only_meet_beside_another_hub_are_linked(spark):
+    """Of three texts the first links with the second, the second with the third; numbers within a bucket do not begin at its least id."""
+    rng, data = random.Random(11), []
+    for g in range(24):
+        words = [f"g{g}w{i}" for i in range(14)]
+        texts = [[*words, f"x{rng.randrange(10**6)}"], words, [*words, f"y{rng.randrange(10**6)}"], [*words[:11], *(f"z{rng.randrange(10**6)}" for _ in range(3))]]
+        data += [(1000 * 64 * g + i, " ".join(t)) for i, t in zip((63, 64, 130, 5), texts, strict=True)]
+    got = as_dict(jaccard_partenum.components(spark.createDataFrame(data, "doc_id bigint, text string")))
+    assert got == components(data)
+
+
 def test_pairs_of_many_shared_buckets_are_met_about_once(spark, monkeypatch):
     """Long texts too far from each other to link share many buckets; a few link."""
     rng = np.random.default_rng(5)
