@@ -7,6 +7,8 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from punctual.catalog import model_queries as Q
+from punctual.catalog.tables import Tables
 from punctual.operators import sampling as S
 from punctual.plans.delay_models import evaluation as V
 from punctual.plans.delay_models import explanation as E
@@ -96,3 +98,10 @@ def test_registered_models_have_the_published_sizes(tables):
     sizes = [k for k in vars(PUBLISHED) if k.startswith(("logistic_", "forest_", "boost_", "stump_"))]
     assert len(sizes) == 10
     assert {k: getattr(tables.s, k) for k in sizes} == {k: getattr(PUBLISHED, k) for k in sizes}
+
+
+def test_every_training_flight_is_learned(spark, tables):
+    """With the published settings, too: their training period covers all flights here."""
+    flights = tables.operated().where("is_delayed IS NOT NULL AND fl_date IS NOT NULL").count()
+    learned = Q.train_of(Q.modelling_rows(Tables(spark, tables.folder, PUBLISHED)))
+    assert learned.count() == flights > 0
