@@ -188,12 +188,15 @@ def compare(pairs: DataFrame, schema: str, one: Callable[[Block, Block, dict], d
 
 
 def paired(anchors: DataFrame, rows: DataFrame, lanes: int, same_label: bool) -> DataFrame:
-    """Each anchor block beside each row block of its label, or of the other labels."""
+    """Each anchor block beside each row block of its label, or of the other labels.
+
+    Both sides are shuffled: a plan's estimate knows nothing of the copies, so they would be broadcast through the driver.
+    """
     side = lambda df, s: df.select(*[F.col(c).alias(f"{s}_{c}") for c in df.columns])
     a = side(anchors, "a").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     b = side(rows, "b").withColumn("lane", F.pmod(F.xxhash64("b_label", "b_part", "b_salt"), F.lit(lanes)).cast("int"))
     label = F.col("a_label") == F.col("b_label") if same_label else F.col("a_label") != F.col("b_label")
-    return a.alias("l").join(b.alias("r"), (F.col("l.lane") == F.col("r.lane")) & label).drop("lane", "b_wants", "b_part", "b_salt").withColumn("b_wants", F.lit(b"").cast("binary"))
+    return a.alias("l").join(b.alias("r").hint("merge"), (F.col("l.lane") == F.col("r.lane")) & label).drop("lane", "b_wants", "b_part", "b_salt").withColumn("b_wants", F.lit(b"").cast("binary"))
 
 
 def best_rows(a: Block, b: Block, memory: dict) -> dict[str, np.ndarray]:

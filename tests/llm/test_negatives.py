@@ -82,6 +82,15 @@ def test_many_blocks_and_copies(spark, monkeypatch):
     assert mined(table(spark, rows), every=20) == plain(rows, every=20)
 
 
+@pytest.mark.parametrize("same_label", [True, False])
+def test_copies_of_anchors_are_not_sent_through_the_driver(spark, same_label):
+    """The copies for all lanes are many times what their table's size tells."""
+    rows = [(1, 0, 0, 1, b"i", b"n", b"a", b"v", b""), (2, 0, 0, 1, b"i", b"n", b"a", b"v", b"")]
+    blocks = angular_negatives.cut_lineage(spark.createDataFrame(rows, angular_negatives.BLOCK))
+    pairs = angular_negatives.paired(blocks, blocks, 64, same_label)
+    assert pairs.count() == 2 and "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bounds_hold_every_score():
     rng = np.random.default_rng(3)
     m = np.floor(256 * rng.normal(size=(60, 8)) * rng.choice([1e-3, 1.0, 1e3], size=(60, 1))).astype(np.int64)
