@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_boosted_stumps import frame, mixed_rows
 
+from punctual.plans.delay_models import boosted_stumps as B
 from punctual.plans.delay_models import evaluation as V
 from punctual.plans.delay_models import histogram_trees as H
 from punctual.plans.delay_models import models as C
@@ -73,3 +75,86 @@ def test_trees_without_rows_or_split(spark):
         got = {r.score for r in model.transform(df if score is not None else rows).select("score").collect()}
         assert len(got) == 1 and (score is None or got == {score})
     assert H.grow_boosted(df.where("label = 7"), 2, 2, 0.1, 0.8, 32, 1).transform(df).count() == 50
+
+
+CELLS = B.Cells(9, {0: (0.0, 1.5, 4.0), 3: (), 4: tuple(float(i) for i in range(40))})
+
+
+def test_dense_and_sparse_vectors_become_the_same_cells():
+    nan = float("nan")
+    dense = np.zeros((5, 9))
+    dense[0, [0, 1, 4]] = 1.5, 1, 7
+    dense[1, [0, 2, 3, 4, 8]] = nan, 1, 5, 39.5, 1
+    dense[2, [0, 4]] = -0.0, -3
+    dense[3, [1, 2, 5, 6]] = 1
+    sparse = [[int(i) for i in np.flatnonzero(row)] for row in dense]
+    shapes = [[None] * 5, sparse, [None, *sparse[1:3], None, sparse[4]]]
+    for indices in shapes:
+        values = [list(map(float, row if i is None else row[i])) for row, i in zip(dense, indices, strict=True)]
+        bins, hot = B.matrices(CELLS, pa.array(indices, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())))
+        assert bins.tolist() == [[1, 3, 0, 0, 0], [0] * 5, [7, 40, 0, 0, 0]]
+        assert [[int(s) for s in column if s >= 0] for column in hot.T] == [[1], [2, 8], [], [1, 2, 5, 6], []]
+    bins, hot = B.matrices(CELLS, pa.array([], pa.list_(pa.int32())), pa.array([], pa.list_(pa.float64())))
+    assert bins.shape == (3, 0) and hot.shape == (0, 0)
+
+
+@pytest.mark.parametrize("add_of", [H.few_slots, H.many_slots])
+def test_sums_of_chosen_slots(add_of, monkeypatch):
+    """Only rows of few nodes, rows with fewer set slots, columns counted together and alone."""
+    rng = np.random.default_rng(2)
+    for joint in (1, 200, 1024):
+        monkeypatch.setattr(H, "JOINT", joint)
+        n, nodes = 500, 5
+        bins = np.stack([rng.integers(0, size, n) for size in (4, 1, 41)]).astype(np.uint8)
+        hot = np.stack([rng.choice([-1, 1, 2], n), rng.choice([-1, 5, 6, 7, 8], n)]).astype(np.int32)
+        chosen = np.sort(np.stack([rng.choice(9, 6, replace=False) for _ in range(nodes)]), axis=1).astype(np.int32)
+        rows = np.sort(rng.choice(n, 300, replace=False))
+        node, pair = rng.integers(0, nodes, 300), rng.random((2, 300))
+        first, size = H.layout(CELLS, chosen)
+        want = np.zeros((2, size))
+        for i, row in enumerate(rows):
+            want[:, node[i]] += pair[:, i]
+            for slot, at in zip(chosen[node[i]], first[node[i]], strict=True):
+                if slot in CELLS.cuts:
+                    want[:, at + bins[list(CELLS.cuts).index(slot), row]] += pair[:, i]
+                elif slot in hot[:, row]:
+                    want[:, at] += pair[:, i]
+        lines = [line[rows] for line in hot]
+        assert np.allclose(add_of(CELLS, chosen)(node, rows, bins, lines, tuple(pair)), want)
+        counts = add_of(CELLS, chosen)(node, rows, bins, lines, (None, pair[1]))
+        assert np.allclose(counts[1], want[1]) and np.array_equal(counts[0, :nodes], np.bincount(node, minlength=nodes))
+
+
+@pytest.mark.parametrize("whole", [0, 2, 9])
+def test_rows_end_where_their_splits_lead(monkeypatch, whole):
+    """Splits by whole columns, by row, and both."""
+    monkeypatch.setattr(H, "WHOLE", whole)
+    rng = np.random.default_rng(6)
+    n, tree = 400, H.Tree()
+    bins = np.stack([rng.integers(0, size, n) for size in (4, 1, 41)]).astype(np.uint8)
+    hot = np.stack([rng.choice([-1, 1, 2], n), rng.choice([-1, 5, 6, 7, 8], n)]).astype(np.int32)
+    for _ in range(5):
+        nodes = len(tree.slot) - tree.frontier
+        slot = np.where(rng.random(nodes) < 0.8, rng.choice([0, 1, 2, 4, 6, 8], nodes), -1).astype(np.int32)
+        slot[0] = 4
+        tree = tree.grow(slot, rng.integers(0, 3, nodes) * np.where(slot == 4, 10, 1), np.zeros((nodes, 2)))
+    want = []
+    for row in range(n):
+        node = 0
+        while (slot := tree.slot[node]) >= 0:
+            right = bins[list(CELLS.cuts).index(slot), row] > tree.bin[node] if slot in CELLS.cuts else slot in hot[:, row]
+            node = tree.left[node] + right
+        want.append(node)
+    assert tree.leaves(CELLS, bins, hot, n).tolist() == want
+    rows = np.flatnonzero(rng.random(n) < 0.5)
+    assert tree.leaves(CELLS, bins, hot, n, rows).tolist() == [want[i] for i in rows]
+
+
+def test_models_with_as_many_bins_share_their_blocks(spark, monkeypatch):
+    x, y = mixed_rows(200)
+    df, seen = frame(spark, x, y), []
+    monkeypatch.setattr(B, "binning", lambda *given, f=B.binning: seen.append(given[1]) or f(*given))
+    H.grow_forest(df, 2, 2, 5, 32, 1)
+    H.grow_boosted(df, 2, 2, 0.3, 1.0, 32, 1)
+    B.boost(df, 2, 0.5, 16)
+    assert seen == [32, 16]
